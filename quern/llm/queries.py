@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, mixing, packing, splits
+from quern.llm import boilerplate, bpe, mixing, neardup, packing, pieces, splits
 from quern.registry import Registry
 from quern.tables import table
 
@@ -24,6 +24,37 @@ def p1_shares(spark, d):
     return splits.shares(splits.assign(table(spark, d, "index_entries")))
 
 
+@R.query("p2_found")
+def p2_found(spark, d):
+    return neardup.found(neardup.novel_texts(table(spark, d, "novels")))
+
+
+@R.query("p2_groups")
+def p2_groups(spark, d):
+    return neardup.groups(neardup.novel_texts(table(spark, d, "novels")))
+
+
+@R.query("p3_found")
+def p3_found(spark, d):
+    return boilerplate.found(table(spark, d, "novels"))
+
+
+@R.query("p3_clean")
+def p3_clean(spark, d):
+    return boilerplate.cleaned(table(spark, d, "novels"))
+
+
+@R.query("p4_found")
+def p4_found(spark, d):
+    return pieces.found(pieces.corpus_items(table(spark, d, "articles"), table(spark, d, "novels")))
+
+
+@R.query("p4_pieces")
+def p4_pieces(spark, d):
+    items = pieces.corpus_items(table(spark, d, "articles"), table(spark, d, "novels"))
+    return pieces.cut_items(items).dropDuplicates(["kind", "item_id", "piece"])
+
+
 @R.query(
     "p5_found",
     r"""
