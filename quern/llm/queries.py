@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import boilerplate, bpe, mixing, neardup, packing, pieces, splits
+from quern.llm import boilerplate, bpe, mixing, neardup, packing, pieces, spam, splits
 from quern.registry import Registry
 from quern.tables import table
 
@@ -95,3 +95,13 @@ def p7_pack(spark, d):
 @R.query("p7_report")
 def p7_report(spark, d):
     return packing.report(packing.pack_texts(table(spark, d, "documents"), "doc_id", "text")[0])
+
+
+@R.query("p8_found")
+def p8_found(spark, d):
+    return spam.found(table(spark, d, "documents"))
+
+
+@R.query("p8_scores")
+def p8_scores(spark, d):
+    return spam.scored(table(spark, d, "documents"))
