@@ -112,26 +112,29 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)
         ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys)), pa.array(maps, pa.binary())],
-            ["cls", "n", "bands", "bits"],
+            [b.column(0), b.column(2), pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys)), pa.array(maps, pa.binary())],
+            ["cls", "id", "n", "bands", "bits"],
         )
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """``cls, n, bands, bits`` of each row of ``texts`` (cls, text)."""
-    return texts.select("cls", "text").mapInArrow(_sketch, "cls bigint, n int, bands array<bigint>, bits binary")
+    """``cls, id, n, bands, bits`` of each row of ``texts`` (id, cls, text)."""
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("cls", "text", "id").mapInArrow(_sketch, f"cls bigint, id {kind}, n int, bands array<bigint>, bits binary")
 
 
 def tiles(sketched: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """``tile, side, cls, n, bits``: who meets whom.
+    """``tile, side, cls, n, bits``: who meets whom; ``sketched`` has one row a class.
 
     A key of up to ``tile`` classes is one tile.  A larger one is cut by size: classes of band b,
     with n in [r^b, r^(b+1)) for r = 1/threshold, can only match bands b and b+1, and the classes
     of a band are dealt to tiles by hash.  Pairs of different tiles get a tile of their own, with
     sides 0 and 1; side null means that all pairs of the tile count.
     """
-    keyed = sketched.select("cls", "n", F.explode("bands").alias("key")).distinct()
-    size = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    keyed = sketched.select("cls", "n", F.explode("bands").alias("key"))
+    size = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("cls"), 20)).alias("who"), F.bit_xor(F.xxhash64("cls")).alias("also")).filter("m > 1")
+    # Keys with the same members say the same; similar texts share most of their keys.
+    size = size.groupBy("m", "who", "also").agg(F.min("key").alias("key")).select("key", "m")
     met = keyed.join(size, "key")
     small = met.filter(F.col("m") <= tile).select(F.col("key").alias("tile"), F.lit(None).cast("int").alias("side"), "cls", "n")
     band = F.floor(F.ln("n") / float(np.log(1 / threshold)) + 1e-9).cast("int")
@@ -165,7 +168,7 @@ def tiles(sketched: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
     dealt = hot.select(F.inline(F.concat(same, F.coalesce(above, none), F.coalesce(below, none))), "cls", "n")
     # Bitmaps join last, so that the classes that meet nobody never move theirs.
     whole = small.unionByName(dealt)
-    return whole.join(sketched.select("cls", "bits").dropDuplicates(["cls"]), "cls").select("tile", "side", "cls", "n", "bits")
+    return whole.join(sketched.select("cls", "bits"), "cls").select("tile", "side", "cls", "n", "bits")
 
 
 def _candidates(threshold: float):
@@ -253,13 +256,15 @@ def _exact(threshold: float):
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(links: ``a, b, sim`` of different classes; members: ``id, cls``) of ``docs`` (id, text)."""
-    own = classed(docs)
-    sketched = cut(sketches(own), "sketches")
-    members = cut(own.select("id", "cls").distinct(), "members")
-    pairs = cut(candidates(sketched, threshold, tile), "pairs")
+    sketched = cut(sketches(classed(docs)), "sketches")
+    members = sketched.select("id", "cls").distinct()
+    once = cut(sketched.drop("id").dropDuplicates(["cls"]), "classes")
+    pairs = cut(candidates(once, threshold, tile), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = own.select("cls", "text").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    texts = cut(texts, "texts")
+    # One document stands for each class, so that only those texts are tidied again.
+    ids = sketched.select("id", "cls").join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id")).withColumnRenamed("cls", "wanted")
+    texts = classed(docs.join(ids.select("id"), "id", "left_semi")).join(ids, "id").filter("cls = wanted").dropDuplicates(["cls"])
+    texts = cut(texts.select("cls", "text"), "texts")
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
