@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from quern.plans import article_queries, index_queries, sample_queries, text_queries
 from quern.registry import Registry
 
 R = Registry()
+for module in (article_queries, text_queries, index_queries, sample_queries):
+    for name, query in module.R.queries.items():
+        R.query(name, module.R.sql.get(name))(query)
 
 
 def flagship(spark, d):
-    raise NotImplementedError
+    """Articles cleaned, copies dropped, texts chunked, neighbours paired, reported by source."""
+    return sample_queries.corpus_report(spark, d)
