@@ -29,24 +29,12 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import narrow, whole_text
 from quern.operators.components import components
+from quern.operators.tiles import BASE, TILE, band_keys, bitmap, candidates, mixed
 from quern.session import cut
 
 GRAM = 8
 THRESHOLD = 0.7
 BANDS, ROWS = 40, 4
-BITS = 4096
-#: Classes in one tile at most.
-TILE = 512
-
-_MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """64-bit finaliser: every bit of the result depends on every bit of ``h``."""
-    h = (h ^ (h >> np.uint64(30))) * _MIX1
-    h = (h ^ (h >> np.uint64(27))) * _MIX2
-    return h ^ (h >> np.uint64(31))
-
 
 def grams(text: str, k: int = GRAM) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the sequences of k characters."""
@@ -56,40 +44,10 @@ def grams(text: str, k: int = GRAM) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     for i in range(k):
-        h = h * _BASE + points[i : i + n] + np.uint64(1)
+        h = h * BASE + points[i : i + n] + np.uint64(1)
     return np.unique(mixed(h))
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240101)
-    n = BANDS * ROWS
-    return (
-        (rng.integers(0, 2**32, (n, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32),
-        rng.integers(0, 2**32, (n, 1), dtype=np.uint64).astype(np.uint32),
-    )
-
-
-_A, _B = _permutations()
-
-
-def band_keys(g: np.ndarray) -> np.ndarray:
-    """Keys of the minhash bands of a gram set, one int64 a band."""
-    h = (g >> np.uint64(32)).astype(np.uint32)
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(h), 4096):
-        np.minimum(low, (h[None, at : at + 4096] * _A + _B).min(axis=1), out=low)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE
-    for r in range(ROWS):
-        key = mixed(key * _BASE + low[r::ROWS].astype(np.uint64))
-    return key.view(np.int64)
-
-
-def bitmap(g: np.ndarray) -> bytes:
-    on = np.zeros(BITS, dtype=np.uint8)
-    on[(g & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(on).tobytes()
-
-
 def tidy(c: Column) -> Column:
     """Narrow, lower case, letters and digits only."""
     return F.regexp_replace(F.lower(narrow(c)), r"[^\p{L}\p{N}]+", "")
@@ -107,7 +65,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(1):
             g = grams(t.as_py())
             n.append(len(g))
-            bands.append(band_keys(g))
+            bands.append(band_keys(g, BANDS, ROWS))
             maps.append(bitmap(g))
         keys = np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)
         ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
@@ -123,116 +81,6 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("cls", "text", "id").mapInArrow(_sketch, f"cls bigint, id {kind}, n int, bands array<bigint>, bits binary")
 
 
-def tiles(sketched: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """``tile, side, cls, n, bits``: who meets whom; ``sketched`` has one row a class.
-
-    A key of up to ``tile`` classes is one tile.  A larger one is cut by size: classes of band b,
-    with n in [r^b, r^(b+1)) for r = 1/threshold, can only match bands b and b+1, and the classes
-    of a band are dealt to tiles by hash.  Pairs of different tiles get a tile of their own, with
-    sides 0 and 1; side null means that all pairs of the tile count.
-    """
-    keyed = sketched.select("cls", "n", F.explode("bands").alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("cls"), 20)).alias("who"), F.bit_xor(F.xxhash64("cls")).alias("also")).filter("m > 1")
-    # Keys with the same members say the same; similar texts share most of their keys.
-    size = size.groupBy("m", "who", "also").agg(F.min("key").alias("key")).select("key", "m")
-    met = keyed.join(size, "key")
-    small = met.filter(F.col("m") <= tile).select(F.col("key").alias("tile"), F.lit(None).cast("int").alias("side"), "cls", "n")
-    band = F.floor(F.ln("n") / float(np.log(1 / threshold)) + 1e-9).cast("int")
-    hot = met.filter(F.col("m") > tile).withColumn("band", band)
-    counts = hot.groupBy("key", "band").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("s"))
-    up = counts.select("key", (F.col("band") - 1).alias("band"), F.col("s").alias("s_up"))
-    down = counts.select("key", (F.col("band") + 1).alias("band"), F.col("s").alias("s_down"))
-    hot = hot.join(counts, ["key", "band"]).join(up, ["key", "band"], "left").join(down, ["key", "band"], "left")
-    hot = hot.withColumn("t", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
-
-    def pair(b: Column, t: Column, b2: Column, t2: Column) -> Column:
-        return F.xxhash64("key", b, t, b2, t2)
-
-    b, t = F.col("band"), F.col("t")
-    same = F.transform(
-        F.sequence(F.lit(0), F.col("s") - 1),
-        lambda o: F.struct(
-            pair(b, F.least(t, o), b, F.greatest(t, o)).alias("tile"),
-            F.when(o != t, (o < t).cast("int")).alias("side"),
-        ),
-    )
-    above = F.when(
-        F.col("s_up").isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.col("s_up") - 1), lambda o: F.struct(pair(b, t, b + 1, o).alias("tile"), F.lit(0).alias("side"))),
-    )
-    below = F.when(
-        F.col("s_down").isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.col("s_down") - 1), lambda o: F.struct(pair(b - 1, o, b, t).alias("tile"), F.lit(1).alias("side"))),
-    )
-    none = F.array().cast("array<struct<tile:bigint,side:int>>")
-    dealt = hot.select(F.inline(F.concat(same, F.coalesce(above, none), F.coalesce(below, none))), "cls", "n")
-    # Bitmaps join last, so that the classes that meet nobody never move theirs.
-    whole = small.unionByName(dealt)
-    return whole.join(sketched.select("cls", "bits"), "cls").select("tile", "side", "cls", "n", "bits")
-
-
-def _candidates(threshold: float):
-    """Pairs of a tile that size and bit counts let through; rows come sorted by tile."""
-    need = threshold / (1 + threshold)
-
-    def pairs(tile: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarray):
-        i = np.arange(len(tile))
-        step = 1
-        while True:
-            i = i[i + step < len(tile)]
-            i = i[tile[i] == tile[i + step]]
-            if not len(i):
-                return
-            j = i + step
-            ok = (side[i] < 0) | (side[i] != side[j])
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok &= (low >= threshold * high) & (cls[i] != cls[j])
-            x, y = i[ok], j[ok]
-            for at in range(0, len(x), 16384):
-                p, q = x[at : at + 16384], y[at : at + 16384]
-                differ = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
-                both = n[p] + n[q]
-                keep = (both - differ) / 2 >= need * both - 1e-9
-                p, q = p[keep], q[keep]
-                if len(p):
-                    yield np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])
-            step += 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not t.num_rows:
-                return
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(t.num_rows, BITS // 64)
-            side = t.column("side").fill_null(-1).to_numpy()
-            args = t.column("tile").to_numpy(), side, t.column("cls").to_numpy(), t.column("n").to_numpy().astype(np.int64), bits
-            for a, b in pairs(*args):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            ids = t.column("tile").to_numpy()
-            # The last tile of a batch may go on in the next; a tile has at most two sides of TILE rows.
-            first = int(np.searchsorted(ids, ids[-1], side="left")) if ids[0] <= ids[-1] else 0
-            yield from work(t.slice(0, first).combine_chunks())
-            rest = t.slice(first).combine_chunks()
-        if rest is not None:
-            yield from work(rest)
-
-    return run
-
-
-def candidates(sketched: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """``a, b`` (a < b) of the classes that meet in a tile and pass its bounds."""
-    met = tiles(sketched, threshold, tile)
-    sorted_ = met.repartition("tile").sortWithinPartitions("tile")
-    return sorted_.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct()
-
-
 def _exact(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] | None = None
@@ -263,6 +111,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     # One document stands for each class, so that only those texts are tidied again.
     ids = sketched.select("id", "cls").join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id")).withColumnRenamed("cls", "wanted")
+    # Written, so that Spark knows its size and need not shuffle the documents for a short list.
+    ids = cut(ids, "ids")
     texts = classed(docs.join(ids.select("id"), "id", "left_semi")).join(ids, "id").filter("cls = wanted").dropDuplicates(["cls"])
     texts = cut(texts.select("cls", "text"), "texts")
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
