@@ -85,6 +85,9 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, unit: str = "ch
         if end >= n:
             return out, stretch
         back = end - overlap if sums is None else int(np.searchsorted(sums, sums[end] - overlap, side="left"))
+        if sums is not None:
+            # The overlap gives way where one more character wouldn't fit behind it.
+            back = min(end, max(back, int(np.searchsorted(sums, sums[end + 1] - limit, side="left"))))
         begin, done = max(back, begin + 1), end
 
 

@@ -8,6 +8,43 @@ from quern.tables import table
 
 R = Registry()
 
+# SQL: full-width ASCII forms and the ideographic space as the plain characters; white space of any kind.
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + " "
+SPACE = r"[\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PAGES = """SELECT site, meta.id AS id, meta.title AS title, e.key AS key, e.value.text AS text
+  FROM (SELECT site, meta, unnest(map_entries(texts)) AS e FROM novels WHERE meta.id IS NOT NULL) WHERE e.value.text IS NOT NULL AND e.value.text <> ''"""
+
+
+def sql_tidy(x: str) -> str:
+    return f"regexp_replace(lower(translate({x}, '{WIDE}', '{PLAIN}')), '{SPACE}+', '', 'g')"
+
+
+P2_SQL = f"""
+    WITH t AS (SELECT DISTINCT id, regexp_replace(lower(translate(t, '{WIDE}', '{PLAIN}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t
+      FROM (SELECT id, string_agg(text, '' ORDER BY CAST(key AS INTEGER)) AS t FROM (SELECT DISTINCT id, key, text FROM ({PAGES})) GROUP BY id)),
+    g AS (SELECT DISTINCT id, substr(t, i, 8) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 6)) AS i FROM t WHERE length(t) >= 8)),
+    n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+    c AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+    SELECT x AS id_a, y AS id_b FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE c >= 0.7 * (p.n + q.n - c)"""
+
+P3_SQL = f"""
+    WITH p AS (SELECT DISTINCT coalesce(site, '') AS site, id, title, CAST(key AS INTEGER) AS page, text FROM ({PAGES})),
+    l AS (SELECT site, id, title, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM p),
+    k AS (SELECT site, id, page, line_no, CASE WHEN title IS NULL OR title = 'Unknown' OR {sql_tidy('title')} = '' THEN {sql_tidy('line')}
+      ELSE replace({sql_tidy('line')}, {sql_tidy('title')}, chr(1)) END AS x FROM l),
+    d AS (SELECT site, id, page, line_no, regexp_replace(x, '[0-9]+', chr(2), 'g') AS x FROM k WHERE x <> ''),
+    s AS (SELECT site, count(DISTINCT id) AS n FROM p GROUP BY site),
+    b AS (SELECT d.site, x FROM d JOIN s ON s.site = d.site GROUP BY d.site, x, n HAVING count(DISTINCT id) >= 4 AND count(DISTINCT id) >= 0.2 * n)
+    SELECT DISTINCT id, page, line_no::INTEGER AS line_no FROM d JOIN b ON b.site = d.site AND b.x = d.x"""
+
+P4_SQL = f"""
+    WITH i AS (SELECT 'article' AS kind, CAST(cvid AS VARCHAR) AS item_id, content AS t FROM articles WHERE cvid IS NOT NULL
+      UNION SELECT 'novel', id, string_agg(text, chr(10) || chr(10) ORDER BY CAST(key AS INTEGER)) FROM (SELECT DISTINCT id, key, text FROM ({PAGES})) GROUP BY id),
+    o AS (SELECT kind, item_id, list_max(list_transform(string_split(regexp_replace(regexp_replace(t, '([\n。！？!?…；])', '\\1' || chr(3), 'g'), '\\.({SPACE})', '.' || chr(3) || '\\1', 'g'), chr(3)), lambda x: length(x))) AS most
+      FROM i WHERE length(t) > 2000)
+    SELECT kind, item_id, 'oversized' AS need FROM o UNION ALL SELECT kind, item_id, 'unbroken' FROM o WHERE most > 2000"""
+
 
 @R.query("p1_found")
 def p1_found(spark, d):
@@ -24,7 +61,7 @@ def p1_shares(spark, d):
     return splits.shares(splits.assign(table(spark, d, "index_entries")))
 
 
-@R.query("p2_found")
+@R.query("p2_found", P2_SQL)
 def p2_found(spark, d):
     return neardup.found(neardup.novel_texts(table(spark, d, "novels")))
 
@@ -34,7 +71,7 @@ def p2_groups(spark, d):
     return neardup.groups(neardup.novel_texts(table(spark, d, "novels")))
 
 
-@R.query("p3_found")
+@R.query("p3_found", P3_SQL)
 def p3_found(spark, d):
     return boilerplate.found(table(spark, d, "novels"))
 
@@ -44,7 +81,7 @@ def p3_clean(spark, d):
     return boilerplate.cleaned(table(spark, d, "novels"))
 
 
-@R.query("p4_found")
+@R.query("p4_found", P4_SQL)
 def p4_found(spark, d):
     return pieces.found(pieces.corpus_items(table(spark, d, "articles"), table(spark, d, "novels")))
 

@@ -11,7 +11,7 @@ All documents are tokenised once, counted, calibrated and scored; the driver hol
 and score histograms, whose number is bounded by the number of classes and bins.
 
 Defined cases: null, empty and blank texts, and texts of fewer than 4 tokens, are not spam; repeated
-rows give repeated rows; texts of any length are read whole; an empty table gives an empty result.
+rows give repeated rows; a collection without windows to learn from has no spam; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -415,12 +415,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     tokens = tokenised(docs, key, text)
     table = sc.broadcast(surprise(trigram_counts(tokens)))
     bounds = limits(tokens, table)
+    untaught = bool((bounds[:, 1] < 0).all())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code, cls, chars, window, rows = _windows(b)
             score = _score(table.value, code, window, len(rows))
-            fits = ((score >= bounds[:, :1]) & (score <= bounds[:, 1:])).any(axis=0)
+            fits = ((score >= bounds[:, :1]) & (score <= bounds[:, 1:])).any(axis=0) | untaught
             weight = np.bincount(window, weights=chars, minlength=len(rows))
             all_ = np.bincount(rows, weights=weight, minlength=b.num_rows)
             odd = np.bincount(rows, weights=weight * ~fits, minlength=b.num_rows)
