@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.components import components
-from quern.operators.tiles import band_keys, bands_for, bitmap, candidates, mixed
+from quern.operators.tiles import BASE, band_keys, bands_for, bitmap, candidates, mixed
 from quern.session import cut
 
 SHINGLE = 5
@@ -26,38 +26,58 @@ def exact_copies(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.join(heads, "h").select(F.col("k").alias(key), "first", "copies")
 
 
-def shingle_hashes(text: Column, words: int = SHINGLE) -> Column:
-    """Distinct 64-bit hashes of runs of words (all words as one run where there are fewer); empty for a text without words."""
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words of a text, in order; empty for a null text."""
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    # Shifted copies side by side: the words are split once, not once a run.
-    many = F.greatest(F.size(tokens) - words + 1, F.lit(1))
-    shifted = F.arrays_zip(*[F.slice(tokens, F.lit(k + 1), many).alias(f"w{k}") for k in range(words)])
-    runs = F.transform(shifted, lambda x: F.xxhash64(F.concat_ws(" ", *[x[f"w{k}"] for k in range(words)])))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
-def word_hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of words."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))
+def runs_of(h: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct hashes of runs of words; all words are one run where there are fewer."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    own, n = mixed(h.view(np.uint64)), min(words, len(h))
+    out = np.full(len(h) - n + 1, n, dtype=np.uint64)
+    for j in range(n):
+        out = out * BASE + own[j : j + len(out)]
+    return np.unique(mixed(out))
+
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-def _sketch(bands: int, rows: int):
+
+def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
+    column = batch.column(1)
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [runs_of(flat[a:b], words) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _sketch(bands: int, rows: int, words: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, maps = [], [], []
-            for v in batch.column(1):
-                h = mixed(v.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                n.append(len(h))
-                keys.append(band_keys(h, bands, rows))
-                maps.append(bitmap(h))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), lists, pa.array(maps, pa.binary())], ["cls", "n", "bands", "bits"])
+            sets = _sets(batch, words)
+            cls = [int(mixed((s * BASE + np.arange(len(s), dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]) for s in sets]
+            cols = [batch.column(0), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            cols += [_lists([band_keys(s, bands, rows) for s in sets]), pa.array([bitmap(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "cls", "n", "bands", "bits"])
 
     return run
 
 
+def _set_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_sets(batch, words))], ["k", "s"])
+
+    return run
+
+
+SKETCH = "k bigint, cls bigint, n int, bands array<bigint>, bits binary"
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard index of two arrays of distinct elements; 1 for two empty ones."""
     both = F.size(F.array_intersect(a, b))
@@ -65,21 +85,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def near_pairs(df: DataFrame, key: str, hashes: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """``src, dst, sim`` (src < dst, BIGINT) of different sets at or above the threshold; sets without elements have no partner.
+def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = SHINGLE) -> DataFrame:
+    """``src, dst, sim`` (src < dst, BIGINT) of texts whose sets of runs of words reach the threshold.
 
-    Equal sets stand as one, by their smallest key (``exact_copies`` tells who they are).  A pair at the
-    threshold shares no minhash band with probability 0.0001; what shares one is decided exactly.
+    Texts with equal sets stand as one, by their smallest key (``exact_copies`` tells who they are);
+    texts without words have no partner.  A pair at the threshold shares no minhash band with
+    probability 0.0001; what shares one is decided exactly, on the sets of the candidates alone.
     """
-    own = df.select(F.col(key).cast("long").alias("k"), hashes.alias("set")).filter("k is not null and size(set) > 0")
-    own = own.withColumn("set", F.array_sort("set")).withColumn("h", F.xxhash64("set"))
-    one = cut(own.groupBy("h").agg(F.min(F.struct("k", "set")).alias("v")).select("v.k", "v.set"), "sets")
-    bands, rows = bands_for(threshold)
-    sketched = cut(one.mapInArrow(_sketch(bands, rows), "cls bigint, n int, bands array<bigint>, bits binary"), "sketches")
-    pairs = cut(candidates(sketched, threshold), "pairs")
-    left, right = one.select(F.col("k").alias("a"), F.col("set").alias("x")), one.select(F.col("k").alias("b"), F.col("set").alias("y"))
-    decided = pairs.join(left, "a").join(right, "b").withColumn("sim", jaccard(F.col("x"), F.col("y"))).filter(F.col("sim") >= threshold)
-    return cut(decided.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("sim", 2).alias("sim")), "near")
+    own = df.select(F.col(key).cast("long").alias("k"), word_hashes(F.col(text)).alias("w")).filter("k is not null and size(w) > 0")
+    sketched = cut(own.mapInArrow(_sketch(*bands_for(threshold), words), SKETCH), "sketches")
+    firsts = cut(sketched.groupBy("cls").agg(F.min("k").alias("k")), "firsts")
+    once = cut(sketched.join(firsts, ["cls", "k"], "left_semi").dropDuplicates(["cls"]), "classes")
+    pairs = cut(candidates(once, threshold), "pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    ids = cut(firsts.join(wanted, "cls"), "ids")
+    sets = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(ids.select("k"), "k", "left_semi")
+    sets = sets.select("k", word_hashes(F.col("t")).alias("w")).mapInArrow(_set_rows(words), "k bigint, s array<bigint>")
+    sets = cut(sets.join(ids, "k").dropDuplicates(["cls"]), "sets")
+    left, right = (sets.select(F.col("cls").alias(c), F.col("k").alias(f"k{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+    decided = pairs.join(left, "a").join(right, "b").withColumn("sim", jaccard(F.col("sa"), F.col("sb"))).filter(F.col("sim") >= threshold)
+    return cut(decided.select(F.least("ka", "kb").alias("src"), F.greatest("ka", "kb").alias("dst"), F.round("sim", 2).alias("sim")), "near")
 
 
 def marker_score(text: Column, words: Column, most: Column) -> Column:

@@ -143,13 +143,13 @@ RUNS = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[
 
 @R.query("near_pairs", f"WITH {RUNS} SELECT src, dst, round(c / (x.n + y.n - c), 2) AS sim FROM bb JOIN n x ON x.k = src JOIN n y ON y.k = dst WHERE c / (x.n + y.n - c) >= 0.8")
 def near_pairs(spark, d):
-    return dedup.near_pairs(table(spark, d, "documents"), "doc_id", dedup.shingle_hashes(F.col("text")))
+    return dedup.near_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
 @R.query("dedup_star_select")
 def dedup_star_select(spark, d):
     docs = table(spark, d, "documents")
-    edges = dedup.near_pairs(docs, "doc_id", dedup.shingle_hashes(F.col("text")))
+    edges = dedup.near_pairs(docs, "doc_id", "text")
     nodes = docs.select(F.col("doc_id").alias("id"), X.count_words(F.col("text")).cast("double").alias("score"))
     return dedup.star_select(edges, nodes)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of all executors, once a session.
+
+    Spark serves the archive from the driver, so the package need not be installed anywhere else.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._quern_shipped = True
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that its lineage ends there.
 

@@ -221,11 +221,11 @@ def test_exact_and_near_copies(spark):
     ks = sorted((k, s) for s, k in sets.items())
     want = sorted((a, b, round(len(s & u) / len(s | u), 2)) for a, s in ks for b, u in ks if a < b and len(s & u) / len(s | u) >= 0.8)
     assert len(want) == 3
-    assert rows(dedup.near_pairs(df, "k", dedup.shingle_hashes(F.col("t")))) == want
+    assert rows(dedup.near_pairs(df, "k", "t")) == want
     copies = {r["k"]: (r["first"], r["copies"]) for r in dedup.exact_copies(df, "k", "t").collect()}
     assert copies[50] == (0, 2) and copies[61] == (60, 2)
     nodes = spark.createDataFrame([(0, 1.0), (1, 5.0), (2, 2.0), (10, None)], "id long, score double")
-    edges = dedup.near_pairs(df, "k", dedup.shingle_hashes(F.col("t")))
+    edges = dedup.near_pairs(df, "k", "t")
     assert rows(dedup.star_select(edges, nodes)) == [(0, False), (1, True), (2, False), (10, True)]
 
 
@@ -236,8 +236,9 @@ def test_hot_buckets_lose_no_pair(spark):
     base = list(range(100, 200))
     data = [(i, base[: 100 - i % 7] + [1000 + i]) for i in range(40)]
     df = spark.createDataFrame(data, "k long, s array<long>")
-    sketched = df.select("k", "s").mapInArrow(dedup._sketch(8, 2), "cls bigint, n int, bands array<bigint>, bits binary")
-    got = {tuple(r) for r in tiles.candidates(sketched, 0.8, tile=4).collect()}
+    sketched = df.select("k", "s").mapInArrow(dedup._sketch(8, 2), dedup.SKETCH).cache()
+    of = {r["cls"]: r["k"] for r in sketched.collect()}
+    got = {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in tiles.candidates(sketched, 0.8, tile=4).collect()}
     want = {(a, b) for a, s in data for b, t in data if a < b and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.8}
     assert want and want <= got
 
