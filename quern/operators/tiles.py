@@ -78,7 +78,7 @@ def tiles(sketched: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     sides 0 and 1; side null means that all pairs of the tile count.
     """
     keyed = sketched.select("cls", "n", F.explode("bands").alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("cls"), 20)).alias("who"), F.bit_xor(F.xxhash64("cls")).alias("also")).filter("m > 1")
+    size = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("cls"), 40)).alias("who"), F.bit_xor(F.xxhash64("cls")).alias("also")).filter("m > 1")
     # Keys with the same members say the same; similar texts share most of their keys.
     size = size.groupBy("m", "who", "also").agg(F.min("key").alias("key")).select("key", "m")
     met = keyed.join(size, "key")

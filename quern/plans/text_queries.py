@@ -58,7 +58,7 @@ def document_waterfall(spark, d):
 
 @R.query(
     "word_count_mixed_script",
-    r"""SELECT doc_id, coalesce(len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '\p{Latin}+')))
+    r"""SELECT doc_id, coalesce(len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Nl}_]+'), lambda w: regexp_full_match(w, '\p{Latin}+')))
     + length(regexp_replace(text, '[^\p{Han}\p{Hiragana}\p{Katakana}]', '', 'g')), 0) AS words FROM documents""",
 )
 def word_count_mixed_script(spark, d):
