@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import is_blank, strip
@@ -145,3 +145,25 @@ def any_of(text: Column, words: list[str]) -> Column:
 def long_enough(text: Column, least: int) -> Column:
     """Not blank and at least ``least`` code points."""
     return ~is_blank(text) & (F.length(text) >= least)
+
+
+def repo_meta(repo: Column, path: Column, stars: Column, lang: Column) -> Column:
+    """Metadata of a code file under the names the chunks use."""
+    return F.struct(repo.alias("repo_name"), path.alias("path"), stars.alias("stars"), lang.alias("lang"))
+
+
+def json_ready(df: DataFrame) -> DataFrame:
+    """Columns as JSON can hold them: dates and times as ISO 8601, decimals as doubles, bytes as text (null if they are none)."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind == "date":
+            c = F.date_format(c, "yyyy-MM-dd")
+        elif kind.startswith("timestamp"):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        elif kind.startswith("decimal"):
+            c = c.cast("double")
+        elif kind == "binary":
+            c = F.try_validate_utf8(c.cast("string"))
+        out.append(c.alias(name))
+    return df.select(*out)

@@ -133,3 +133,25 @@ def article_texts(articles: DataFrame, comments: DataFrame) -> DataFrame:
     body = strip(F.col("content"))
     tail = F.coalesce(F.concat(F.lit("\n\n---\n评论：\n"), F.col("comments")), F.lit(""))
     return articles.filter(~is_blank(F.col("content"))).join(best, "cvid", "left").select("cvid", F.concat(head, body, tail).alias("text"))
+
+
+def thread_texts(articles: DataFrame, comments: DataFrame) -> DataFrame:
+    """``cvid, thread``: all comments of an article with their replies behind each, one block a comment.
+
+    A block is author and content.  In a reply the mention names the author of the comment it
+    answers, and stands in front if it was missing.  Comments without content are left out; a null author
+    is 无名.  A thread is one row of the result, so it has to fit one.
+    """
+    roots, replies = comment_edges(articles, comments)
+    name = F.coalesce("author_name", F.lit("无名"))
+    known = comments.filter("author_name is not null").select(F.col("rpid").alias("parent"), F.col("author_name").alias("to"))
+    answered = replies.join(known, "parent", "left").filter("content is not null")
+    told = F.when(F.col("to").isNull(), F.col("content")).otherwise(
+        F.regexp_replace("content", F.lit("@.+:"), F.concat(F.lit("@"), F.regexp_replace("to", r"([\\$])", r"\\$1"), F.lit(":")))
+    )
+    told = F.when(F.col("to").isNotNull() & ~told.startswith("回复 @"), F.concat(F.lit("回复 @"), "to", F.lit(":"), told)).otherwise(told)
+    under = answered.select("parent_rpid", (F.col("rpos") + 1).alias("n"), F.concat(name, F.lit("\n"), told).alias("t"))
+    tops = roots.select("cvid", "pos", "rpid", F.lit(0).alias("n"), F.concat(name, F.lit("\n"), F.col("content")).alias("t"))
+    below = roots.select("cvid", "pos", "rpid").join(under, roots["rpid"] == under["parent_rpid"]).select("cvid", "pos", "rpid", "n", "t")
+    blocks = tops.filter("t is not null").unionByName(below)
+    return blocks.groupBy("cvid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n", "t"))), lambda x: x["t"]), "\n\n").alias("thread"))

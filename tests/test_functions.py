@@ -91,3 +91,10 @@ def test_wiki_page(spark):
     assert one(spark, "[x]a b", page) == "URL: u/a_b\n\na b\n\nt"
     assert one(spark, "plain", page) is None
     assert re.match("URL: ", one(spark, "i", lambda c: X.question_answer(c, c, c)))
+
+
+def test_json_ready(spark):
+    df = spark.sql("select date'2024-01-02' d, timestamp'2024-01-02 03:04:05' t, 1.50bd x, cast('é' as binary) b, X'ff' c, 7 n")
+    assert tuple(X.json_ready(df).first()) == ("2024-01-02", "2024-01-02T03:04:05", 1.5, "é", None, 7)
+    lit = F.lit
+    assert tuple(df.select(X.repo_meta(lit("r"), lit("p"), lit(3), lit("py")).alias("m")).first()["m"]) == ("r", "p", 3, "py")

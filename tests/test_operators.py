@@ -118,6 +118,8 @@ def test_comment_tree_and_text(spark):
     texts = dict(rows(A.article_texts(arts, com)))
     assert texts[1] == "T\n\n2020 | me | a\n\nbody\n\n---\n评论：\nUnknown: twelve chars here\nA: ten chars!!\n  └─ R: 0123456789"
     assert texts[2] == "\n\n\nb2" and 3 not in texts
+    threads = dict(rows(A.thread_texts(arts, com)))
+    assert threads == {1: "A\nten chars!!\n\nR\n回复 @A:0123456789\n\nS\n回复 @A:012345678\n\nB\nshort\n\n无名\ntwelve\nchars here"}
     ids = spark.createDataFrame([('["1","x","2"]',), ("[]",), (None,)], "c string").select(A.id_list(F.col("c")))
     assert [r[0] for r in ids.collect()] == [[1], [], []]
 
