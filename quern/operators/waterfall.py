@@ -33,6 +33,6 @@ def confusion(df: DataFrame, kept: Column, good: Column) -> DataFrame:
         F.round(F.expr("1 - (tp + fp) / nullif(rows, 0)"), 6).alias("filter_rate"),
         F.round(p, 6).alias("precision"),
         F.round(r, 6).alias("recall"),
-        F.round(F.expr("2.0 * tp / nullif(2 * tp + fp + fn, 0)"), 6).alias("f1"),
+        F.round(F.expr("2D * tp / nullif(2 * tp + fp + fn, 0)"), 6).alias("f1"),
         F.round(F.expr("fn / nullif(tp + fn, 0)"), 6).alias("false_kill"),
     )

@@ -8,8 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from quern.session import local_session
+    from quern.session import local_session, ship
 
     session = local_session(4, "4g", **{"spark.sql.shuffle.partitions": "4"})
+    ship(session)
     yield session
     session.stop()

@@ -25,7 +25,7 @@ def plain(v):
         return round(v, 5)
     if hasattr(v, "isoformat"):
         return v.replace(tzinfo=None).isoformat()
-    return list(map(plain, v)) if isinstance(v, list) else float(v) if type(v).__name__ == "Decimal" else v
+    return list(map(plain, v)) if isinstance(v, list) else round(float(v), 5) if type(v).__name__ == "Decimal" else v
 
 
 @pytest.mark.parametrize("name", sorted(catalog.R.queries))
