@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
 from quern.operators.components import components
 from quern.operators.tiles import BASE, band_keys, bands_for, bitmap, candidates, mixed
 from quern.session import cut
@@ -85,12 +86,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = SHINGLE) -> DataFrame:
-    """``src, dst, sim`` (src < dst, BIGINT) of texts whose sets of runs of words reach the threshold.
+def near_classes(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """``k, cls`` of every text, texts with equal sets of runs of words being one class, and
+    ``a, b, ka, kb, sim`` of the pairs of classes (with their smallest keys) that reach the threshold.
 
-    Texts with equal sets stand as one, by their smallest key (``exact_copies`` tells who they are);
-    texts without words have no partner.  A pair at the threshold shares no minhash band with
-    probability 0.0001; what shares one is decided exactly, on the sets of the candidates alone.
+    Members of a class have similarity 1 to one another and the links of their class.  Texts without
+    words are of one class where they are equal but for white space around them, and have no links.
     """
     own = df.select(F.col(key).cast("long").alias("k"), word_hashes(F.col(text)).alias("w")).filter("k is not null and size(w) > 0")
     sketched = cut(own.mapInArrow(_sketch(*bands_for(threshold), words), SKETCH), "sketches")
@@ -104,7 +105,19 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
     sets = cut(sets.join(ids, "k").dropDuplicates(["cls"]), "sets")
     left, right = (sets.select(F.col("cls").alias(c), F.col("k").alias(f"k{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
     decided = pairs.join(left, "a").join(right, "b").withColumn("sim", jaccard(F.col("sa"), F.col("sb"))).filter(F.col("sim") >= threshold)
-    return cut(decided.select(F.least("ka", "kb").alias("src"), F.greatest("ka", "kb").alias("dst"), F.round("sim", 2).alias("sim")), "near")
+    bare = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(r"k is not null and not t rlike r'[\p{L}\p{N}]'")
+    return sketched.select("k", "cls").union(bare.select("k", F.xxhash64(strip(F.col("t"))))), cut(decided.select("a", "b", "ka", "kb", "sim"), "near")
+
+
+def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = SHINGLE) -> DataFrame:
+    """``src, dst, sim`` (src < dst, BIGINT) of texts whose sets of runs of words reach the threshold.
+
+    Texts with equal sets stand as one, by their smallest key (``exact_copies`` tells who they are);
+    texts without words have no partner.  A pair at the threshold shares no minhash band with
+    probability 0.0001; what shares one is decided exactly, on the sets of the candidates alone.
+    """
+    _, near = near_classes(df, key, text, threshold, words)
+    return near.select(F.least("ka", "kb").alias("src"), F.greatest("ka", "kb").alias("dst"), F.round("sim", 2).alias("sim"))
 
 
 def marker_score(text: Column, words: Column, most: Column) -> Column:
@@ -122,37 +135,49 @@ def best_of_group(df: DataFrame, group: str, order: str, text: str, words: Colum
     return best.select(group, (-F.col("b.o")).alias(order), F.col("b.s").alias("score"))
 
 
-def star_select(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def star_select(edges: DataFrame, nodes: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """``id, kept``: greedy selection in order of id, one hop.
 
     Each undecided document forms a cluster with its undecided neighbours; the best score (the first of
     equals) is kept and the others go.  A component decides for itself, so components run in parallel;
     ``nodes`` (id BIGINT, score DOUBLE) without edges are kept.  Null scores are 0.
+
+    ``members`` (id, cls) are documents that are linked to all others of their class; ``edges`` are then
+    between classes.  A class is decided at once, with its first document, so it stands as one row, by
+    its best document, however many it has.  Nodes without a class are kept.
     """
     own = nodes.select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    of = own.select("id", F.col("id").alias("cls")) if members is None else members.select("id", "cls")
+    best = F.max(F.struct("score", (-F.col("id")).alias("o")))
+    heads = own.join(of, "id").groupBy("cls").agg(F.min("id").alias("first"), best.alias("b"))
+    heads = cut(heads.select("cls", "first", F.col("b.score").alias("score"), (-F.col("b.o")).alias("best")), "heads")
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     roots = components(edges.select("src", "dst")).select(F.col("node").alias("src"), "root")
-    rows = both.join(roots, "src", "left").withColumn("root", F.coalesce("root", "src")).join(own.withColumnsRenamed({"id": "src", "score": "s"}), "src")
-    rows = rows.join(own.withColumnsRenamed({"id": "dst", "score": "t"}), "dst")
+    rows = both.join(roots, "src", "left").withColumn("root", F.coalesce("root", "src"))
+    rows = rows.join(heads.select(F.col("cls").alias("src"), F.col("first").alias("a"), F.col("score").alias("s"), "best"), "src")
+    rows = rows.join(heads.select(F.col("cls").alias("dst"), F.col("first").alias("b")), "dst")
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
-        score: dict[int, float] = {}
-        for a, b, s in zip(pdf["src"], pdf["dst"], pdf["s"]):
+        rank: dict[int, tuple[float, int]] = {}
+        for a, b, s, i in zip(pdf["a"], pdf["b"], pdf["s"], pdf["best"]):
             near.setdefault(a, []).append(b)
-            score[a] = s
+            rank[a] = (s, -i)
         kept: dict[int, bool] = {}
         for a in sorted(near):
             if a in kept:
                 continue
-            cluster = [a, *sorted(b for b in near[a] if b not in kept)]
-            best = max(cluster, key=lambda x: (score[x], -cluster.index(x)))
+            cluster = [a, *(b for b in near[a] if b not in kept)]
+            best = max(cluster, key=rank.__getitem__)
             for x in cluster:
                 kept[x] = x == best
-        return pd.DataFrame({"id": list(kept), "kept": list(kept.values())})
+        return pd.DataFrame({"first": list(kept), "kept": list(kept.values())})
 
-    decided = rows.groupBy("root").applyInPandas(select, "id bigint, kept boolean")
-    return own.join(decided, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    decided = rows.groupBy("root").applyInPandas(select, "first bigint, kept boolean")
+    won = heads.join(decided, "first", "left").filter(F.coalesce("kept", F.lit(True))).select(F.col("best").alias("id"), F.lit(True).alias("won"))
+    in_class = of.select("id", F.lit(True).alias("in_class")).distinct()
+    out = own.join(in_class, "id", "left").join(won, "id", "left")
+    return out.select("id", (F.col("won").isNotNull() | F.col("in_class").isNull()).alias("kept"))
 
 
 def bm25_scores(terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

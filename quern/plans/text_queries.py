@@ -149,9 +149,9 @@ def near_pairs(spark, d):
 @R.query("dedup_star_select")
 def dedup_star_select(spark, d):
     docs = table(spark, d, "documents")
-    edges = dedup.near_pairs(docs, "doc_id", "text")
+    members, near = dedup.near_classes(docs, "doc_id", "text")
     nodes = docs.select(F.col("doc_id").alias("id"), X.count_words(F.col("text")).cast("double").alias("score"))
-    return dedup.star_select(edges, nodes)
+    return dedup.star_select(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes, members.withColumnRenamed("k", "id"))
 
 
 WORDS = R.sql["word_count_mixed_script"]

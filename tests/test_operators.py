@@ -231,6 +231,45 @@ def test_exact_and_near_copies(spark):
     assert rows(dedup.star_select(edges, nodes)) == [(0, False), (1, True), (2, False), (10, True)]
 
 
+def test_copies_go_with_their_class(spark):
+    """Against the greedy rule over all documents, copies included."""
+    random.seed(7)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(6):
+        base = [random.choice(words) for _ in range(120)]
+        texts += [base[:k] + ["new"] + base[k + 1 :] for k in (3, 60, 118)]
+    texts += [[random.choice(words) for _ in range(100)] for _ in range(6)]
+    docs = [(i, " ".join(t if i % 5 else [w.upper() for w in t])) for i, t in enumerate(random.choice(texts[: 1 + n % len(texts)]) for n in range(90))]
+    docs += [(90 + i, " ".join(texts[3])) for i in range(45)] + [(200, ""), (201, " \n"), (202, None), (203, "…"), (204, "…"), (205, "!!")]
+    score = {k: float(random.randint(0, 9)) for k, _ in docs}
+    sets = {}
+    for k, t in docs:
+        w = (t or "").lower().split()
+        sets[k] = frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([t and t.strip() or ""])
+    want = {}
+    for a in sorted(sets):
+        if a in want:
+            continue
+        cluster = [a, *(b for b in sorted(sets) if b != a and b not in want and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)]
+        best = max(cluster, key=lambda x: (score[x], -x))
+        want |= {x: x == best for x in cluster}
+    members, near = dedup.near_classes(spark.createDataFrame(docs, "k long, t string"), "k", "t")
+    nodes = spark.createDataFrame(list(score.items()), "id long, score double")
+    got = dedup.star_select(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes, members.withColumnRenamed("k", "id"))
+    assert rows(got) == sorted(want.items())
+
+
+def test_dedup_star_select_keeps_one_copy(spark, tmp_path):
+    """The registered query: of a text, its copies and a better near copy, only the best stays."""
+    from quern.plans.text_queries import dedup_star_select
+
+    text = " ".join("abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(60))
+    docs = [(1, text), (2, text), (3, text.upper()), (4, text + " more"), (5, "alone of its kind"), (6, "alone of its kind"), (7, "…"), (8, "…"), (9, "!")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(dedup_star_select(spark, str(tmp_path))) == [(1, False), (2, False), (3, False), (4, True), (5, True), (6, False), (7, True), (8, False), (9, True)]
+
+
 def test_hot_buckets_lose_no_pair(spark):
     """Tiles of four sets: every pair still meets."""
     from quern.operators import tiles
