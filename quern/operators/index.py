@@ -44,10 +44,11 @@ def pairs(entries: DataFrame) -> DataFrame:
     return with_next(entries).filter("next_split = split + 1").select(F.col("idx").alias("src_idx"), F.col("next_idx").alias("tgt_idx"))
 
 
-def flagged(entries: DataFrame) -> DataFrame:
-    """Adds ``has_next, has_prev, orphan``."""
+def flagged(entries: DataFrame, previous: bool = False) -> DataFrame:
+    """Adds ``has_next, has_prev, orphan``; with ``previous`` also ``prev_idx, prev_tokens`` of the predecessor, null where there is none."""
     own = with_next(entries).withColumn("has_next", F.coalesce(F.col("next_split") == F.col("split") + 1, F.lit(False)))
-    targets = own.filter("has_next").select(F.col("next_idx").alias("idx"), F.lit(True).alias("has_prev"))
+    before = [F.col("idx").alias("prev_idx"), F.col("tokens").alias("prev_tokens")] if previous else []
+    targets = own.filter("has_next").select(F.col("next_idx").alias("idx"), F.lit(True).alias("has_prev"), *before)
     own = own.drop("next_idx", "next_split").join(targets, "idx", "left").withColumn("has_prev", F.coalesce("has_prev", F.lit(False)))
     return own.withColumn("orphan", ~(F.col("has_next") | F.col("has_prev")))
 

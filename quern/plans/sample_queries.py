@@ -184,6 +184,44 @@ def training_samples(spark, d):
     return own.select("idx", "task", s.alias("s")).select("idx", "task", F.size("s.context_ids").alias("context"), F.size("s.input_ids").alias("inputs"))
 
 
+#: Tokens of context and of target of a sample, as in training.
+CONTEXT_MOST = TARGET_MOST = 4096
+
+
+@R.query(
+    "training_samples_full",
+    f"""WITH {ENTRIES}, t AS (SELECT f.*, {TASK} AS task, p.src_idx FROM f LEFT JOIN p ON p.tgt_idx = f.idx), s AS (SELECT t.*, b.tokens AS src_tokens FROM t LEFT JOIN e b ON b.idx = t.src_idx),
+    i AS (SELECT idx, task, src_idx, (CASE WHEN merged THEN false WHEN task = 'reconstruction' THEN true ELSE NOT has_next END)::INT AS eos, (task = 'reconstruction')::INT AS ae,
+      greatest(tokens, 0) AS n, greatest(src_tokens, 0) AS m, idx % 40000 + 1 AS a, src_idx % 40000 + 1 AS b FROM s),
+    c AS (SELECT *, CASE task WHEN 'reconstruction' THEN least(n, {CONTEXT_MOST}) WHEN 'continuation' THEN least(m, {CONTEXT_MOST}) ELSE 1 END AS context,
+      CASE task WHEN 'reconstruction' THEN a WHEN 'continuation' THEN b ELSE 0 END AS c, least(n, {TARGET_MOST} - eos - ae) AS body FROM i)
+    SELECT idx, task, CASE WHEN task = 'continuation' THEN src_idx END AS src_idx, context::INT AS context, (CASE WHEN context > 0 THEN c END)::INT AS context_first, (CASE WHEN context > 0 THEN c + context - 1 END)::INT AS context_last,
+      (body + eos + ae)::INT AS inputs, (CASE WHEN ae = 1 THEN 50001 WHEN body > 0 THEN a WHEN eos = 1 THEN 50002 END)::INT AS input_first,
+      (CASE WHEN eos = 1 THEN 50002 WHEN body > 0 THEN a + body - 1 WHEN ae = 1 THEN 50001 END)::INT AS input_last FROM c""",
+)
+def training_samples_full(spark, d):
+    """Samples at the limits of training, from each entry's whole length and its true predecessor.
+
+    The tables hold no texts of the entries, so the ids of an entry are a run of numbers that begins at
+    its own place; nothing behind a limit is ever read, so the run ends there.
+    """
+    own = I.flagged(once(spark, d), previous=True).withColumn("task", I.task(F.col("idx"), F.col("has_prev"), 1))
+    own = own.withColumn("eos", I.ends_text(F.col("task"), F.col("parts").isNotNull(), F.col("has_next")))
+
+    def ids(idx, tokens):
+        first = F.pmod(idx, F.lit(40000)).cast("int") + 1
+        n = F.least(tokens.cast("int"), F.lit(max(CONTEXT_MOST, TARGET_MOST)))
+        return F.when(n > 0, F.sequence(first, first + n - 1)).otherwise(F.array().cast("array<int>"))
+
+    s = B.sample(F.col("task"), ids(F.col("idx"), F.col("tokens")), ids(F.col("prev_idx"), F.col("prev_tokens")), F.col("eos"), 50001, 50002, 0, TARGET_MOST, CONTEXT_MOST)
+    context, inputs = F.col("s.context_ids"), F.col("s.input_ids")
+    own = own.select("idx", "task", F.when(F.col("task") == "continuation", F.col("prev_idx")).alias("src_idx"), s.alias("s"))
+    return own.select(
+        "idx", "task", "src_idx", F.size(context).alias("context"), F.get(context, F.lit(0)).alias("context_first"), F.get(context, F.size(context) - 1).alias("context_last"),
+        F.size(inputs).alias("inputs"), F.get(inputs, F.lit(0)).alias("input_first"), F.get(inputs, F.size(inputs) - 1).alias("input_last"),
+    )
+
+
 @R.query(
     "pad_collate",
     """WITH e AS (SELECT event_id, event_id // 8 AS b, (user_id % 7 + 1)::INT AS n FROM events), m AS (SELECT *, max(n) OVER (PARTITION BY b) AS w FROM e)

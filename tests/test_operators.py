@@ -315,6 +315,21 @@ def test_batches(spark):
     assert [list(x) for x in tails] == [[1, 2, 3, 4], [3, 4], [1, 2, 3, 4]]
 
 
+def test_samples_have_whole_lengths_and_true_predecessors(spark, tmp_path):
+    from quern.plans.sample_queries import training_samples_full
+
+    data = [(0, "s", "a", 0, 5000), (1, "s", "b", 0, 20), (2, "s", "a", 1, 7000), (3, "s", "b", 1, None), (4, "s", "b", 2, 30), (6, "s", "a", 2, 40)]
+    entries(spark, data).write.parquet(str(tmp_path / "index_entries.parquet"))
+    assert rows(training_samples_full(spark, str(tmp_path))) == [
+        (0, "reconstruction", None, 4096, 1, 4096, 4096, 50001, 50002),
+        (1, "ntp", None, 1, 0, 0, 20, 2, 21),
+        (2, "continuation", 0, 4096, 1, 4096, 4096, 3, 4098),
+        (3, "reconstruction", None, 0, None, None, 2, 50001, 50002),
+        (4, "continuation", 3, 0, None, None, 31, 5, 50002),
+        (6, "continuation", 2, 4096, 3, 4098, 41, 7, 50002),
+    ]
+
+
 def test_prompts_and_logits(spark):
     talk = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 2, "system", None)], "k int, n int, r string, t string")
     assert B.chat(talk, "k", "n", "r", "t", "simple").first()[1] == "User: a\nAssistant: b\nAssistant:"
