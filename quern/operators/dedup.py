@@ -56,11 +56,24 @@ def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
     return [runs_of(flat[a:b], words) for a, b in zip(ends[:-1], ends[1:])]
 
 
+def _class_of(s: np.ndarray) -> int:
+    """One number for a set."""
+    return int(mixed((s * BASE + np.arange(len(s), dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+
+
+def _classes(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class_of(s) for s in _sets(batch, words)], pa.int64())], ["k", "cls"])
+
+    return run
+
+
 def _sketch(bands: int, rows: int, words: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _sets(batch, words)
-            cls = [int(mixed((s * BASE + np.arange(len(s), dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]) for s in sets]
+            cls = [_class_of(s) for s in sets]
             cols = [batch.column(0), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
             cols += [_lists([band_keys(s, bands, rows) for s in sets]), pa.array([bitmap(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["k", "cls", "n", "bands", "bits"])
@@ -86,6 +99,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
+def near_copies(df: DataFrame, key: str, text: str, words: int = SHINGLE) -> DataFrame:
+    """``key, first, copies`` (BIGINT): the smallest key with the same set of runs of words and how many share it.
+
+    All who share a set are at similarity 1, and each has the partners that ``near_pairs`` has for ``first``.
+    Texts without words aren't here.
+    """
+    own = df.select(F.col(key).cast("long").alias("k"), word_hashes(F.col(text)).alias("w")).filter("k is not null and size(w) > 0")
+    own = cut(own.mapInArrow(_classes(words), "k bigint, cls bigint"), "members")
+    heads = own.groupBy("cls").agg(F.min("k").alias("first"), F.count("*").alias("copies"))
+    return own.join(heads, "cls").select(F.col("k").alias(key), "first", "copies")
+
+
 def near_classes(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``k, cls`` of every text, texts with equal sets of runs of words being one class, and
     ``a, b, ka, kb, sim`` of the pairs of classes (with their smallest keys) that reach the threshold.
@@ -112,7 +137,7 @@ def near_classes(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
 def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = SHINGLE) -> DataFrame:
     """``src, dst, sim`` (src < dst, BIGINT) of texts whose sets of runs of words reach the threshold.
 
-    Texts with equal sets stand as one, by their smallest key (``exact_copies`` tells who they are);
+    Texts with equal sets stand as one, by their smallest key (``near_copies`` tells who they are);
     texts without words have no partner.  A pair at the threshold shares no minhash band with
     probability 0.0001; what shares one is decided exactly, on the sets of the candidates alone.
     """

@@ -146,6 +146,11 @@ def near_pairs(spark, d):
     return dedup.near_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+@R.query("near_copies", f"WITH {RUNS} SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS first, count(*) OVER (PARTITION BY s) AS copies FROM s")
+def near_copies(spark, d):
+    return dedup.near_copies(table(spark, d, "documents"), "doc_id", "text")
+
+
 @R.query("dedup_star_select")
 def dedup_star_select(spark, d):
     docs = table(spark, d, "documents")

@@ -231,6 +231,15 @@ def test_exact_and_near_copies(spark):
     assert rows(dedup.star_select(edges, nodes)) == [(0, False), (1, True), (2, False), (10, True)]
 
 
+def test_near_copies_name_every_member(spark):
+    """Texts that differ only in case, marks, white space or repeated passages, and their link to a third."""
+    text = " ".join("abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(60))
+    docs = [(1, text), (2, text.upper()), (3, text.replace(" ", ",\n")), (4, text + " more"), (5, "a b c d e a b c d e a b c d e"), (6, "a b c d e a b c d e"), (7, "!"), (8, None)]
+    df = spark.createDataFrame(docs, "k int, t string")
+    assert rows(dedup.near_copies(df, "k", "t")) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1), (5, 5, 2), (6, 5, 2)]
+    assert rows(dedup.near_pairs(df, "k", "t")) == [(1, 4, 0.98)]
+
+
 def test_copies_go_with_their_class(spark):
     """Against the greedy rule over all documents, copies included."""
     random.seed(7)
