@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
 from quern.operators.prefix import md5_rank, running_sum_by
 from quern.session import cut
 
@@ -23,6 +24,14 @@ def entries_once(entries: DataFrame) -> DataFrame:
     )
 
 
+def tidy_source() -> Column:
+    """Source of an entry in lower case without white space around; where it is blank, the directory two levels above its file."""
+    own = F.lower(strip(F.col("source")))
+    file = F.coalesce(F.col("file_path"), F.try_element_at("parts", F.lit(1))["file_path"])
+    above = F.regexp_extract(F.coalesce(file, F.lit("")), r"([^/]+)/[^/]*/[^/]*$", 1)
+    return F.when(own.isNull() | (own == ""), above).otherwise(own)
+
+
 def with_next(entries: DataFrame) -> DataFrame:
     """Adds ``next_idx, next_split``: the next entry of the document (source, id) in the order (split, idx), null at its end.
 

@@ -84,11 +84,26 @@ def unscored_articles(spark, d):
 
 @R.query("title_lookup", f"WITH a AS ({LATEST}), c AS ({COMMENTS}), n AS (SELECT DISTINCT meta.id AS id, meta.title AS title FROM novels) SELECT DISTINCT e.id, coalesce(n.title, 'Unknown') AS title FROM (SELECT DISTINCT id FROM index_entries WHERE source = 'novels' AND id IS NOT NULL) e LEFT JOIN n ON n.id = e.id")
 def title_lookup(spark, d):
-    ids = table(spark, d, "index_entries").filter("source = 'novels' and id is not null").select("id").distinct()
+    return _titled(spark, d, F.col("source"))
+
+
+def _titled(spark, d, source):
+    ids = table(spark, d, "index_entries").filter((source == "novels") & F.col("id").isNotNull()).select("id").distinct()
     titles = table(spark, d, "novels").select(F.col("meta.id").alias("id"), F.col("meta.title").alias("title")).distinct()
     return ids.join(titles, "id", "left").select("id", F.coalesce("title", F.lit("Unknown")).alias("title")).distinct()
 
 
+@R.query(
+    "title_lookup_tidied",
+    """WITH n AS (SELECT DISTINCT meta.id AS id, meta.title AS title FROM novels), e AS (SELECT DISTINCT id FROM index_entries WHERE id IS NOT NULL AND
+      CASE WHEN source IS NULL OR trim(source) = '' THEN regexp_extract(coalesce(file_path, parts[1].file_path, ''), '([^/]+)/[^/]*/[^/]*$', 1) ELSE lower(trim(source)) END = 'novels')
+    SELECT DISTINCT e.id, coalesce(n.title, 'Unknown') AS title FROM e LEFT JOIN n ON n.id = e.id""",
+)
+def title_lookup_tidied(spark, d):
+    """Of every novel in the index, however its source is written."""
+    return _titled(spark, d, I.tidy_source())
+
+
 @R.query("keyset_page", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 500")
 def keyset_page(spark, d):
     return joins.keyset_page(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, 500)

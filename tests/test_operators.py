@@ -339,6 +339,15 @@ def test_samples_have_whole_lengths_and_true_predecessors(spark, tmp_path):
     ]
 
 
+def test_titles_of_sources_however_written(spark, tmp_path):
+    from quern.plans.sample_queries import title_lookup_tidied
+
+    sources = [("a", "novels", None), ("b", "Novels", None), ("c", "\u3000NOVELS ", None), ("d", None, "data/novels/x/1.jsonl"), ("e", " ", "novels/x/1.jsonl"), ("f", "games", "novels/x/1.jsonl"), (None, "novels", None)]
+    spark.createDataFrame([(i, s, k, 0, 1, f, None, None) for i, (k, s, f) in enumerate(sources)], ENTRY).write.parquet(str(tmp_path / "index_entries.parquet"))
+    spark.createDataFrame([(("b", "B"),), (("c", "C"),), (("f", "F"),)], "meta struct<id:string,title:string>").write.parquet(str(tmp_path / "novels.parquet"))
+    assert rows(title_lookup_tidied(spark, str(tmp_path))) == [("a", "Unknown"), ("b", "B"), ("c", "C"), ("d", "Unknown"), ("e", "Unknown")]
+
+
 def test_prompts_and_logits(spark):
     talk = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 2, "system", None)], "k int, n int, r string, t string")
     assert B.chat(talk, "k", "n", "r", "t", "simple").first()[1] == "User: a\nAssistant: b\nAssistant:"
