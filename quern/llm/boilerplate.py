@@ -76,6 +76,7 @@ def repeated(
 ) -> DataFrame:
     """``site, line, docs``: lines in at least ``min_docs`` and ``min_share`` of a site's document clusters, on ``min_dates`` dates.
 
+    A cluster has one date, its first, so a republished copy adds none.
     With ``by_cluster`` off, a document's id stands for its cluster (repeated rows still collapse).
     """
     if by_cluster:
@@ -85,7 +86,8 @@ def repeated(
     sizes = own.select("site", "cluster").distinct().groupBy("site").agg(F.count("*").alias("all"))
     seen = own.select("site", "cluster", "date", F.explode(F.array_distinct("lines")).alias("line")).filter("line is not null")
     if min_dates > 1:
-        dates = seen.select("site", "line", "date").distinct().groupBy("site", "line").agg(F.count("date").alias("dates"))
+        firsts = seen.groupBy("site", "line", "cluster").agg(F.min("date").alias("date"))
+        dates = firsts.select("site", "line", "date").distinct().groupBy("site", "line").agg(F.count("date").alias("dates"))
     counts = seen.select("site", "line", "cluster").distinct().groupBy("site", "line").agg(F.count("*").alias("docs"))
     counts = counts.filter(F.col("docs") >= min_docs)
     if min_dates > 1:
@@ -101,17 +103,17 @@ def places(lines: DataFrame, bad: DataFrame) -> DataFrame:
     return at.join(F.broadcast(bad) if few else bad, ["site", "line"]).select("id", "page", "line_no").distinct()
 
 
-def found(novels: DataFrame, by_cluster: bool = False) -> DataFrame:
+def found(novels: DataFrame, by_cluster: bool = False, min_dates: int = 1) -> DataFrame:
     """Places of repeated lines in novels; documents are told apart by meta.id, as the task defines it."""
     lines = hashed(pages_of(novels))
-    return places(lines, repeated(lines, by_cluster))
+    return places(lines, repeated(lines, by_cluster, min_dates=min_dates))
 
 
-def cleaned(novels: DataFrame, by_cluster: bool = False) -> DataFrame:
+def cleaned(novels: DataFrame, by_cluster: bool = False, min_dates: int = 1) -> DataFrame:
     """``id, page, text`` of every page without the repeated lines; a page of nothing else becomes empty."""
     pages = pages_of(novels)
     lines = hashed(pages)
-    drop = places(lines, repeated(lines, by_cluster)).groupBy("id", "page").agg(F.collect_set("line_no").alias("drop"))
+    drop = places(lines, repeated(lines, by_cluster, min_dates=min_dates)).groupBy("id", "page").agg(F.collect_set("line_no").alias("drop"))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("drop", F.array().cast("array<int>")), i))
     return (
         pages.select("id", "page", "text")

@@ -105,6 +105,19 @@ def test_repeated_lines(spark):
     assert boilerplate.repeated(lines, min_dates=2).count() == 0
 
 
+def test_boilerplate_by_clusters_and_dates(spark):
+    """A copy that is republished on another day is neither a document nor a date of its own."""
+    own = [("s", i, d, 0, [1, 10 + c]) for i, c, d in (("a", 1, "2020-01-01"), ("b", 2, "2020-01-01"), ("c", 3, "2020-01-01"), ("d", 4, "2020-01-01"), ("e", 4, "2020-01-09"))]
+    lines = spark.createDataFrame(own, "site string, id string, date string, page int, lines array<long>").withColumn("date", F.to_date("date"))
+    assert rows(boilerplate.repeated(lines, min_docs=4)) == [("s", 1, 4)]
+    assert rows(boilerplate.repeated(lines, min_docs=4, min_dates=2)) == []
+    assert rows(boilerplate.repeated(lines, by_cluster=False, min_docs=4, min_dates=2)) == [("s", 1, 5)]
+    same = spark.createDataFrame([novel("s", str(i), None, "all the same", "twice") for i in range(6)], NOVEL)
+    texts = [{r["text"] for r in boilerplate.cleaned(same, by_cluster=c).collect()} for c in (False, True)]
+    assert texts == [{""}, {"all the same", "twice"}]
+    assert boilerplate.found(same, min_dates=2).count() == 0
+
+
 # 4 pieces --------------------------------------------------------------------------------------
 
 
