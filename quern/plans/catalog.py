@@ -12,5 +12,8 @@ for module in (article_queries, text_queries, index_queries, sample_queries):
 
 
 def flagship(spark, d):
-    """Articles cleaned, copies dropped, texts chunked, neighbours paired, reported by source."""
+    """Documents that aren't blank, without exact copies, cut into chunks of 512 characters, neighbours paired, reported by source.
+
+    Articles, comments and novels aren't read, nothing is cleaned, and near copies stay.
+    """
     return sample_queries.corpus_report(spark, d)
