@@ -10,8 +10,10 @@ spam if more than half of its characters lie in windows that aren't ordinary.
 All documents are tokenised once, counted, calibrated and scored; the driver holds trigram counts
 and score histograms, whose number is bounded by the number of classes and bins.
 
-Defined cases: null, empty and blank texts, and texts of fewer than 4 tokens, are not spam; repeated
-rows give repeated rows; a collection without windows to learn from has no spam; texts of any length are read whole; an empty table gives an empty result.
+Defined cases: every row comes out with a score; null, empty and blank texts have no tokens, a null share
+and are not spam; a text of fewer than 4 tokens is spam only if more than half of its characters are links;
+repeated rows give repeated rows; a collection without windows to learn from has no other spam; texts and
+words of any length are read and weighed whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ MOST_BITS = 7.0
 #: Weight of the sequence against the single class.
 SEQUENCE = 0.5
 BATCH_CHARS = 600_000
+#: Tokens that are scored at once; a longer text is scored alone.
+BATCH_TOKENS = 300_000
 
 # Function words of English; function characters of Chinese; last syllables that mark
 # a word of a Korean sentence (particles and endings).
@@ -252,7 +257,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(keys, key_type),
                 pa.array([c.tobytes() for c, _ in done], pa.binary()),
-                pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in done], pa.binary()),
+                pa.array([n.astype("<u4").tobytes() for _, n in done], pa.binary()),
             ],
             ["k", "classes", "chars"],
         )
@@ -261,30 +266,44 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_type = b.schema.field(0).type
         keys, texts, held = [], [], 0
         for k, t in zip(b.column(0), b.column(1)):
-            t = t.as_py()
+            t = t.as_py() or ""
             keys.append(k.as_py())
             texts.append(t)
             held += len(t)
             if held >= BATCH_CHARS:
                 yield work(keys, texts)
                 keys, texts, held = [], [], 0
-        if texts:
+        if keys:
             yield work(keys, texts)
 
 
 def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k, classes, chars`` of every text that isn't null or empty, written once."""
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null and t <> ''")
+    """``k, classes, chars`` of every row, written once; a null text has no tokens."""
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = docs.schema[key].dataType.simpleString()
     return cut(own.mapInArrow(_tokenise, f"k {kind}, classes binary, chars binary"), "classes")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about BATCH_TOKENS tokens, so that memory doesn't follow the size of a batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        upto = np.cumsum(pc.binary_length(b.column("classes")).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < b.num_rows:
+            before = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, before + BATCH_TOKENS, side="right")))
+            yield b.slice(begin, end - begin)
+            begin = end
+
+
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all tokens of a batch: trigram codes, classes, characters, window numbers; of each window: its row."""
     held = [np.frombuffer(c, np.uint8) for c in batch.column("classes").to_pylist()]
     n = np.array([len(x) for x in held], dtype=np.int64)
     cls = np.concatenate(held).astype(np.int64) if len(held) else np.zeros(0, np.int64)
-    chars = np.frombuffer(b"".join(batch.column("chars").to_pylist()), "<u2").astype(np.int64)
+    chars = np.frombuffer(b"".join(batch.column("chars").to_pylist()), "<u4").astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(cls)) - np.repeat(np.cumsum(n) - n, n)
     one = np.where(inside >= 1, np.roll(cls, 1), START)
@@ -335,7 +354,7 @@ def trigram_counts(tokens: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
-        for b in batches:
+        for b in _slices(batches):
             code, cls, _, window, rows = _windows(b)
             genre = genre_of(cls, window, len(rows))[window]
             keys, n = np.unique((genre * CLASSES**3 + code)[genre >= 0], return_counts=True)
@@ -382,7 +401,7 @@ def limits(tokens: DataFrame, table) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((GENRES, BINS), dtype=np.int64)
-        for b in batches:
+        for b in _slices(batches):
             code, cls, _, window, rows = _windows(b)
             genre = genre_of(cls, window, len(rows))
             score = _score(table.value, code, window, len(rows))
@@ -407,9 +426,10 @@ def limits(tokens: DataFrame, table) -> np.ndarray:
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, tokens, share, perplexity``: share of a text's characters in windows that aren't ordinary.
+    """``key, tokens, share, links, perplexity`` of every row: share of a text's characters in windows that aren't ordinary.
 
-    ``perplexity`` is that of the whole text under the model that fits it best.
+    ``links`` is the share of its characters in links, ``perplexity`` that of the whole text under the model
+    that fits it best.  Both shares and the perplexity are null for a text without tokens.
     """
     sc = docs.sparkSession.sparkContext
     tokens = tokenised(docs, key, text)
@@ -418,7 +438,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     untaught = bool((bounds[:, 1] < 0).all())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             code, cls, chars, window, rows = _windows(b)
             score = _score(table.value, code, window, len(rows))
             fits = ((score >= bounds[:, :1]) & (score <= bounds[:, 1:])).any(axis=0) | untaught
@@ -427,16 +447,16 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             odd = np.bincount(rows, weights=weight * ~fits, minlength=b.num_rows)
             size = np.bincount(rows, weights=np.bincount(window, minlength=len(rows)), minlength=b.num_rows)
             bits = np.stack([np.bincount(rows, weights=score[g] * np.bincount(window, minlength=len(rows)), minlength=b.num_rows) for g in range(GENRES)]).min(axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size.astype(np.int64)), pa.array(odd / np.maximum(1, all_)), pa.array(2 ** (bits / np.maximum(1, size)))],
-                ["k", "tokens", "share", "perplexity"],
-            )
+            linked = np.bincount(rows[window], weights=chars * (cls == LINK), minlength=b.num_rows)
+            none = size == 0
+            shares = [pa.array(x, mask=none) for x in (odd / np.maximum(1, all_), linked / np.maximum(1, all_), 2 ** (bits / np.maximum(1, size)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), *shares], ["k", "tokens", "share", "links", "perplexity"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = tokens.mapInArrow(run, f"k {kind}, tokens bigint, share double, perplexity double")
+    out = tokens.mapInArrow(run, f"k {kind}, tokens bigint, share double, links double, perplexity double")
     return out.withColumnRenamed("k", key)
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` of the pages with more than half of their characters in windows that aren't ordinary."""
-    return scored(docs, key, text).filter(f"share > 0.5 and tokens >= {MIN_TOKENS}").select(key)
+    """``key`` of the pages with more than half of their characters in windows that aren't ordinary, or in links where they are short."""
+    return scored(docs, key, text).filter(f"(share > 0.5 and tokens >= {MIN_TOKENS}) or (links > 0.5 and tokens < {MIN_TOKENS})").select(key)

@@ -13,7 +13,7 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-# 1 splits --------------------------------------------------------------------------------------
+# Problem 1: splits
 
 ENTRY = "idx long, source string, id string, tokens int, file_path string, byte_offset long, parts array<struct<file_path:string,byte_offset:long>>, root long, entity string"
 
@@ -45,7 +45,7 @@ def test_split_shares(spark):
     assert got == {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
-# 2 near duplicates -----------------------------------------------------------------------------
+# Problem 2: near duplicates
 
 
 def brute_pairs(docs, threshold=0.7):
@@ -79,7 +79,7 @@ def test_near_duplicates(spark):
     assert neardup.found(df.limit(0)).count() == 0
 
 
-# 3 repeated lines ------------------------------------------------------------------------------
+# Problem 3: repeated lines
 
 NOVEL = "site string, meta struct<id:string,title:string>, texts map<string,struct<words:int,text:string>>, crawled_at timestamp, line string"
 
@@ -118,7 +118,7 @@ def test_boilerplate_by_clusters_and_dates(spark):
     assert boilerplate.found(same, min_dates=2).count() == 0
 
 
-# 4 pieces --------------------------------------------------------------------------------------
+# Problem 4: pieces
 
 
 @pytest.mark.parametrize("unit", ["chars", "bytes", "words"])
@@ -147,7 +147,7 @@ def test_piece_rows(spark):
     assert pieces.cut_items(df.limit(0)).count() == 0
 
 
-# 5 mixing --------------------------------------------------------------------------------------
+# Problem 5: mixing
 
 
 def test_mix(spark):
@@ -163,7 +163,7 @@ def test_mix(spark):
     assert drawn.count() == 0 and {r["reached"] for r in report.collect()} == {0}
 
 
-# 6 tokenizer -----------------------------------------------------------------------------------
+# Problem 6: tokenizer
 
 TEXTS = ["", "Hello  world's\n\n text", "<|endoftext|> x", "漢字仮名ーンド龍契士の魔", "😀é́ﬁ", "a" * 3000, " " * 50 + "b", "\x1c\x1d\x85​", "日本語テキスト123", "'S 's", "ÿþ" * 40, "0" * 700]
 
@@ -202,7 +202,7 @@ def test_merges_follow_the_definition():
         assert bpe.merge(piece, ranks) == plain(piece)
 
 
-# 7 packing -------------------------------------------------------------------------------------
+# Problem 7: packing
 
 
 def contents(df, capacity):
@@ -265,7 +265,7 @@ def test_reduction_keeps_the_optimum():
         assert plan.fixed + (least(rest, 20) if rest else 0) == least(items, 20)
 
 
-# 8 spam ----------------------------------------------------------------------------------------
+# Problem 8: spam
 
 
 def test_spam_pages(spark):
@@ -289,6 +289,17 @@ def test_spam_pages(spark):
     df = spark.createDataFrame([(*d, "x") for d in docs + bad + edge], "doc_id long, text string, share string")
     assert {r[0] for r in spam.found(df).collect()} == {100, 101, 102, 103}
     assert spam.found(df.limit(0)).count() == 0 and spam.found(df.filter("doc_id >= 200")).count() == 0
+    scores = {r["doc_id"]: r for r in spam.scored(df).collect()}
+    assert len(scores) == len(docs + bad) + 4 and scores[200]["share"] is None and scores[201]["tokens"] == 0 and scores[203]["tokens"] == 1
+    short = spark.createDataFrame([(1, "www.a.example/x http://b.example/y", "x"), (2, "see www.a.example", "x"), (3, "a word", "x")], "doc_id long, text string, share string")
+    assert {r[0] for r in spam.found(short).collect()} == {1, 2}
+
+
+def test_a_token_of_any_length_is_weighed_whole(spark):
+    df = spark.createDataFrame([(1, "x" * 1_000_000 + ", " + "www.a.example/" + "y" * 400_000)], "doc_id long, text string")
+    stored = spam.tokenised(df, "doc_id", "text").first()
+    assert sum(int.from_bytes(stored["chars"][i : i + 4], "little") for i in range(0, len(stored["chars"]), 4)) >= 1_400_000
+    assert abs(spam.scored(df).first()["links"] - 400_014 / 1_400_015) < 1e-3
 
 
 def test_classes_of_long_and_odd_texts():
