@@ -84,38 +84,57 @@ def test_near_duplicates(spark):
 NOVEL = "site string, meta struct<id:string,title:string>, texts map<string,struct<words:int,text:string>>, crawled_at timestamp, line string"
 
 
-def novel(site, id, title, *pages):
+def novel(site, id, title, *pages, day=1):
     import datetime
 
-    return (site, (id, title), {str(i): (0, p) for i, p in enumerate(pages)}, datetime.datetime(2024, 1, 1 + len(pages)), "clash")
+    return (site, (id, title), {str(i): (0, p) for i, p in enumerate(pages)}, datetime.datetime(2024, 1, day), "clash")
 
 
 def test_repeated_lines(spark):
-    data = [novel("s", str(i), f"Ti {i}", f"own line {'abcdefgh'[i]}\r\nＲead  TI {i} at page {i}!\n\n", None, "") for i in range(6)]
-    data += [novel("s", "0", "Ti 0", "own line a\r\nＲead  TI 0 at page 0!\n\n", None, ""), novel("t", "9", None, "Read X"), novel("s", None, "x", "own"), ("s", ("7", None), None, None, "")]
+    data = [novel("s", str(i), f"Ti {i}", f"own line {'abcdefgh'[i]}\r\nＲead  TI {i} at page {i}!\n\n", None, "", day=1 + i) for i in range(6)]
+    data += [data[0], novel("t", "9", None, "Read X"), novel("s", None, "Ti 8", "own\nread ti 8 at page 8!"), ("s", ("7", None), None, None, "")]
+    data += [("s", ("0", "Ti 0"), {"x": (0, "keyless\nRead Ti 0 at page 5!"), "0": (0, "another version")}, None, ""), novel("u", "0", "Ti 0", "own line a\nRead TI 0 at page 0!")]
     df = spark.createDataFrame(data, NOVEL)
-    assert rows(boilerplate.found(df)) == [(str(i), 0, 1) for i in range(6)]
-    clean = dict((r["id"], r["text"]) for r in boilerplate.cleaned(df).collect())
-    assert clean["0"] == "own line a\r\n\n" and clean["9"] == "Read X"
-    assert boilerplate.found(df.limit(0)).count() == 0
-    # Copies under other ids are one cluster: six republished pages are not six witnesses.
-    same = spark.createDataFrame([novel("s", str(i), None, "all the same", "twice") for i in range(6)], NOVEL)
-    assert boilerplate.found(same, by_cluster=True).count() == 0 and boilerplate.found(same).count() == 12
-    lines = boilerplate.hashed(boilerplate.pages_of(df))
-    assert boilerplate.repeated(lines, min_dates=2).count() == 0
+    assert sorted(map(tuple, boilerplate.found(df).collect()), key=repr) == [("0", 0, 1), ("0", None, 1), *((str(i), 0, 1) for i in range(1, 6))]
+    out = sorted((tuple(r) for r in boilerplate.cleaned(df).collect()), key=repr)
+    # Null and empty pages, pages without id, with another key, in other versions and of the same id elsewhere all come out, once.
+    want = [("s", str(i), "0", f"own line {'abcdefgh'[i]}\r\n\n") for i in range(6)] + [("s", str(i), "1", None) for i in range(6)] + [("s", str(i), "2", "") for i in range(6)]
+    want += [("s", None, "0", "own"), ("s", "0", "0", "another version"), ("s", "0", "x", "keyless"), ("t", "9", "0", "Read X"), ("u", "0", "0", "own line a\nRead TI 0 at page 0!")]
+    assert out == sorted(want, key=repr)
+    assert boilerplate.found(df.limit(0)).count() == 0 and boilerplate.cleaned(df.limit(0)).count() == 0
+
+
+def test_republished_works_are_one_witness(spark):
+    story = "\n".join(f"line {w} of a story about {v}" for w, v in zip("abcdefghijklmnop", "zyxwvutsrqponmlk"))
+    # The same work under six ids with small edits, and a legal notice of everyone's.
+    data = [novel("s", f"r{i}", None, f"{story}\nedition {'uvwxyz'[i]}\nall rights reserved", day=1 + i) for i in range(6)]
+    data += [novel("s", f"o{i}", None, f"{''.join(random.Random(i).choices('abcdefghijk ', k=300))}\nall rights reserved", day=1 + i) for i in range(6)]
+    df = spark.createDataFrame(data, NOVEL)
+    assert boilerplate.found(df).count() == 6 * 16 + 12
+    clean = {r["id"]: r["text"] for r in boilerplate.cleaned(df).collect()}
+    assert clean["r0"] == f"{story}\nedition u" and all("reserved" not in t for t in clean.values())
+    # On one day alone nothing is boilerplate.
+    day = df.withColumn("crawled_at", F.lit("2024-01-01").cast("timestamp"))
+    assert all("reserved" in r["text"] for r in boilerplate.cleaned(day).collect())
 
 
-def test_boilerplate_by_clusters_and_dates(spark):
+def test_lines_by_clusters_and_dates(spark):
     """A copy that is republished on another day is neither a document nor a date of its own."""
-    own = [("s", i, d, 0, [1, 10 + c]) for i, c, d in (("a", 1, "2020-01-01"), ("b", 2, "2020-01-01"), ("c", 3, "2020-01-01"), ("d", 4, "2020-01-01"), ("e", 4, "2020-01-09"))]
-    lines = spark.createDataFrame(own, "site string, id string, date string, page int, lines array<long>").withColumn("date", F.to_date("date"))
+    own = [("s", i, d, "0", 1, [1, 10 + c]) for i, c, d in (("a", 1, "2020-01-01"), ("b", 2, "2020-01-01"), ("c", 3, "2020-01-01"), ("d", 4, "2020-01-01"), ("e", 4, "2020-01-09"))]
+    lines = spark.createDataFrame(own, "site string, id string, date string, key string, version long, lines array<long>").withColumn("date", F.to_date("date"))
     assert rows(boilerplate.repeated(lines, min_docs=4)) == [("s", 1, 4)]
     assert rows(boilerplate.repeated(lines, min_docs=4, min_dates=2)) == []
-    assert rows(boilerplate.repeated(lines, by_cluster=False, min_docs=4, min_dates=2)) == [("s", 1, 5)]
+    # By weight a cluster counts all its documents, though only one has its lines counted.
+    assert rows(boilerplate.repeated(lines, by_cluster=False, min_docs=4)) == [("s", 1, 5)]
+    near = spark.createDataFrame([("a", 5), ("b", 5), ("c", 6)], "id string, group long")
+    assert rows(boilerplate.repeated(lines, near, min_docs=1)) == [("s", 1, 3), ("s", 11, 1), ("s", 12, 1), ("s", 13, 1), ("s", 14, 1)]
+    assert rows(boilerplate.repeated(lines, near, min_docs=1, min_dates=2)) == []
+
+
+def test_copies_weigh_as_many_as_they_are(spark):
     same = spark.createDataFrame([novel("s", str(i), None, "all the same", "twice") for i in range(6)], NOVEL)
-    texts = [{r["text"] for r in boilerplate.cleaned(same, by_cluster=c).collect()} for c in (False, True)]
-    assert texts == [{""}, {"all the same", "twice"}]
-    assert boilerplate.found(same, min_dates=2).count() == 0
+    assert boilerplate.found(same).count() == 12
+    assert {r["text"] for r in boilerplate.cleaned(same, min_dates=1).collect()} == {"all the same", "twice"}
 
 
 # Problem 4: pieces
