@@ -179,7 +179,19 @@ def test_mix(spark):
     assert abs(sum(r["share"] for r in got.values()) - 1) < 1e-9
     assert {r["copies"] for r in drawn.filter("source = 'b'").collect()} == {2} and drawn.filter("source = 'a'").count() == 55
     drawn, report = mixing.mix(spark.createDataFrame([], ENTRY), targets)
-    assert drawn.count() == 0 and {r["reached"] for r in report.collect()} == {0}
+    assert drawn.count() == 0 and {(r["reached"], r["short"]) for r in report.collect()} == {(0, False)}
+
+
+def test_short_follows_the_draw(spark, monkeypatch):
+    data = spark.createDataFrame([entry(i, "a" if i < 5 else "b", str(i), tokens=10) for i in range(100)], ENTRY)
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), ("b", 0.1, 9)], "source string, target_share double, max_repeats int")
+    short = lambda: {r["source"] for r in mixing.mix(data, targets)[1].filter("short").collect()}
+    assert short() == {"a"} and mixing.mix(data, targets)[1].count() == 2
+    own = mixing.running_sum
+    # A draw that leaves entries out has not drawn all it may.
+    monkeypatch.setattr(mixing, "running_sum", lambda df, *a: own(df, *a).withColumn("upto", F.lit(1 << 40)))
+    monkeypatch.setattr(mixing, "budgets", lambda e, t, f=mixing.budgets: f(e, t).withColumn("epochs", F.lit(0).cast("long")))
+    assert short() == set()
 
 
 # Problem 6: tokenizer
