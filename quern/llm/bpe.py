@@ -143,6 +143,10 @@ class Encoder:
         import regex
 
         self.ranks = parse_ranks(raw)
+        #: Bytes of each id.
+        self.lengths = np.zeros(max(self.ranks.values(), default=-1) + 1, dtype=np.int64)
+        for token, i in self.ranks.items():
+            self.lengths[i] = len(token)
         joined = {t[i : i + 2] for t in self.ranks for i in range(len(t) - 1)}
         # Last byte of a character -> first bytes that may be merged with it.
         self.joins = [frozenset(b for b in range(256) if bytes((a, b)) in joined) for a in range(256)]

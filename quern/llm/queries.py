@@ -89,7 +89,14 @@ def p4_found(spark, d):
 @R.query("p4_pieces")
 def p4_pieces(spark, d):
     items = pieces.corpus_items(table(spark, d, "articles"), table(spark, d, "novels"))
-    return pieces.cut_items(items).dropDuplicates(["kind", "item_id", "piece"])
+    return pieces.cut_items(pieces.once(items), with_text=True)
+
+
+@R.query("p4_token_pieces")
+def p4_token_pieces(spark, d):
+    """Pieces of at most 512 tokens of the public tokenizer, each repeating 32 of the one before."""
+    items = pieces.corpus_items(table(spark, d, "articles"), table(spark, d, "novels"))
+    return pieces.cut_items(pieces.once(items), pieces.TOKEN_LIMIT, pieces.TOKEN_OVERLAP, "tokens", with_text=True)
 
 
 @R.query(

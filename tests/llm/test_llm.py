@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,20 +141,26 @@ def test_copies_weigh_as_many_as_they_are(spark):
 # Problem 4: pieces
 
 
-@pytest.mark.parametrize("unit", ["chars", "bytes", "words"])
+@pytest.mark.parametrize("unit", ["chars", "bytes", "words", "tokens"])
 def test_pieces(unit):
     random.seed(2)
+    enc = bpe.Encoder(bpe.vocabulary_bytes()) if unit == "tokens" else None
     for _ in range(150):
         text = "".join(random.choice("ab 漢😀.。\n") for _ in range(random.randint(0, 300))) + "x" * random.choice([0, 0, 90])
         limit, overlap = random.randint(8, 60), random.randint(0, 7)
-        cuts, stretch = pieces.spans(text, limit, overlap, unit)
-        sums = pieces.prefix_sums(text, unit)
-        size = (lambda a, b: b - a) if sums is None else (lambda a, b: int(sums[b] - sums[a]))
+        cuts, stretch = pieces.spans(text, limit, overlap, unit, enc)
+        sums = pieces.prefix_sums(text, unit, enc)
+        assert len(sums) == len(text) + 1 and (np.diff(sums) >= 0).all()
+        size = lambda a, b: int(sums[b] - sums[a])
         assert [c[1] for c in cuts] == sorted({c[1] for c in cuts}) and (not text or cuts[0][0] == 0 and cuts[-1][1] == len(text))
         ends = set(pieces.boundaries(text).tolist()) if text else set()
         for (b1, e, hard), (b2, _, _) in zip(cuts, cuts[1:]):
-            assert b2 <= e and (hard or e in ends) and size(b2, e) >= min(overlap, size(b1 + 1, e)) - (unit != "chars") * 4
-        assert all(size(b, e) <= limit for b, e, _ in cuts)
+            assert b2 <= e and (hard or e in ends) and (unit == "tokens" or size(b2, e) >= min(overlap, size(b1 + 1, e)) - (unit != "chars") * 4)
+        if unit == "tokens":
+            # Each piece is within the limit when it is encoded alone.
+            assert sums[-1] == enc.size(text) and all(enc.size(text[b:e]) <= limit for b, e, _ in cuts)
+        else:
+            assert all(size(b, e) <= limit for b, e, _ in cuts)
         assert not text or stretch == max(size(a, b) for a, b in zip([0, *sorted(ends)], sorted(ends)))
 
 
@@ -164,6 +171,11 @@ def test_piece_rows(spark):
     out = [(r["item_id"], r["begin"], r["end"], r["hard"]) for r in pieces.cut_items(df, 10, 2).orderBy("item_id", "piece").collect()]
     assert ("2", 0, 6, False) in out and ("5", 0, 9, False) in out and ("5", 7, 15, False) in out and ("1", 0, 10, True) in out
     assert pieces.cut_items(df.limit(0)).count() == 0
+    for unit, limit in (("chars", 10), ("tokens", 8)):
+        got = pieces.cut_items(pieces.once(df), limit, 2, unit, with_text=True).orderBy("item_id", "piece").collect()
+        texts = {i[1]: i[2] for i in items}
+        assert all(r["text"] == texts[r["item_id"]][r["begin"] : r["end"]] for r in got) and {r["item_id"] for r in got} == {"1", "2", "5"}
+        assert len({(r["item_id"], r["piece"]) for r in got}) == len(got)
 
 
 # Problem 5: mixing
