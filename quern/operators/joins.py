@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.operators.prefix import running_sum_by
 
+#: Rows of one key from which on its partner is broadcast instead of shuffled to.
+HOT_ROWS = 1_000_000
+
 
 def zip_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str, width: int = 100_000) -> DataFrame:
     """Row i of one table with row i of the other, in the order of a whole-number column; the longer one's rest is left out.
@@ -39,3 +42,18 @@ def range_join(df: DataFrame, value: str, ranges: DataFrame, width: int) -> Data
 def keyset_page(df: DataFrame, key: str, after: int, size: int) -> DataFrame:
     """The next ``size`` rows with a key above ``after``, in its order (a page is the feature)."""
     return df.filter(F.col(key) > after).orderBy(key).limit(size)
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, weight: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join with ``right``, which has one row a key and in ``weight`` the number of rows that ``left`` has of it.
+
+    Keys with more than ``hot`` rows stay where they are and meet their partner by a broadcast of at most
+    (rows of left / hot) rows; the others are joined as Spark sees fit.  ``right`` should be a written table.
+    ``weight`` isn't in the result.
+    """
+    heavy = right.filter(F.col(weight) > hot).drop(weight)
+    light = right.filter(F.col(weight) <= hot).drop(weight)
+    if not heavy.limit(1).count():
+        return left.join(light, on)
+    rest = left.join(F.broadcast(heavy.select(on)), on, "left_anti")
+    return left.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))

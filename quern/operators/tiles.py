@@ -1,9 +1,10 @@
-"""Pairs of similar sets without comparing all pairs: minhash bands, size-banded tiles, bitmaps.
+"""Pairs of similar sets without comparing all pairs: size-banded tiles of sets that share a key, bitmaps.
 
-Sets are 64-bit hashes.  Sets that share a band key meet in tiles; a key that many share is cut into
-bands of size and these into tiles of bounded size, and only tiles whose sizes can match are paired, so
-no task holds a whole hot key and no set is dropped.  Inside a tile, sizes and bit counts bound the
-overlap from above; only pairs the bound lets through leave the tile, to be decided exactly.
+Sets are 64-bit hashes.  Sets that share a key (of a minhash band, or an element of their prefixes, which
+is exact) meet in tiles.  Every key is cut into bands of size and these into tiles of bounded size, and only
+tiles whose sizes can match are paired, so no task holds a whole hot key and no set is dropped.  Inside a
+tile, sizes and bit counts bound the overlap from above; only pairs the bound lets through leave the
+tile, to be decided exactly.  A bitmap is as wide as its set is large.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 4096
-#: Sets in one tile at most.
+from quern.operators.joins import skew_join
+from quern.session import cut
+
+#: Bits of the smallest bitmap; others have the power of two that is at least twice their set.
+BITS = 256
+#: Sets in one side of a tile at most, and bytes of their bitmaps.
 TILE = 512
+TILE_BYTES = 1 << 25
 
 _MIX1, _MIX2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,44 +69,67 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def prefix_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
+    """The least elements of a sorted set, as many as make two sets at or above the threshold share one; exact, but a share of the set."""
+    n = len(hashes)
+    return hashes[: n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0].view(np.int64)
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
     """A bit for each hash of a set, by its lowest bits."""
-    on = np.zeros(BITS, dtype=np.uint8)
-    on[(hashes & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(on).tobytes()
+    width = max(BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else BITS
+    on = np.zeros(width, dtype=np.uint8)
+    on[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
+    # Bit i of the map is bit i of a little-endian number, so halves fold onto one another by or.
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap as words of 64 bits, narrowed to ``width`` bits; bits that differ still stand for elements of one set only."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, dtype="<u8").reshape(-1, width // 64), axis=0)
 
 
 def tiles(sketched: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """``tile, side, cls, n, bits``: who meets whom; ``sketched`` (cls, n, bands, bits) has one row a set.
 
-    A key of up to ``tile`` classes is one tile.  A larger one is cut by size: sets of band b,
-    with n in [r^b, r^(b+1)) for r = 1/threshold, can only match bands b and b+1, and the classes
-    of a band are dealt to tiles by hash.  Pairs of different tiles get a tile of their own, with
-    sides 0 and 1; side null means that all pairs of the tile count.
+    Each key is cut by size: sets of band b, with n in [r^b, r^(b+1)) for r = 1/threshold, can only match
+    bands b and b+1, and the sets of a band are dealt to tiles of at most ``tile`` by hash.  Pairs of
+    different tiles get a tile of their own, with sides 0 and 1; side null means that all pairs of the
+    tile count.  A tile without a pair isn't made.  Of keys with the same members one is enough.
     """
-    keyed = sketched.select("cls", "n", F.explode("bands").alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("cls"), 40)).alias("who"), F.bit_xor(F.xxhash64("cls")).alias("also")).filter("m > 1")
-    # Keys with the same members say the same; similar texts share most of their keys.
-    size = size.groupBy("m", "who", "also").agg(F.min("key").alias("key")).select("key", "m")
-    met = keyed.join(size, "key")
-    small = met.filter(F.col("m") <= tile).select(F.col("key").alias("tile"), F.lit(None).cast("int").alias("side"), "cls", "n")
     band = F.floor(F.ln("n") / float(np.log(1 / threshold)) + 1e-9).cast("int")
-    hot = met.filter(F.col("m") > tile).withColumn("band", band)
-    counts = hot.groupBy("key", "band").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("s"))
-    up = counts.select("key", (F.col("band") - 1).alias("band"), F.col("s").alias("s_up"))
-    down = counts.select("key", (F.col("band") + 1).alias("band"), F.col("s").alias("s_down"))
-    hot = hot.join(counts, ["key", "band"]).join(up, ["key", "band"], "left").join(down, ["key", "band"], "left")
-    hot = hot.withColumn("t", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
+    keyed = sketched.filter("n > 0").select("cls", "n", band.alias("band"), F.explode("bands").alias("key"))
+    # A key has a row a band and a band a power of 1/threshold, so the lists below are short.
+    each = keyed.groupBy("key", "band").agg(
+        F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("cls"), 40)).alias("who"), F.bit_xor(F.xxhash64("cls")).alias("also")
+    )
+    keys = each.groupBy("key").agg(
+        F.sum("m").alias("m"), F.sum("who").alias("who"), F.bit_xor("also").alias("also"), F.map_from_entries(F.collect_list(F.struct("band", "m"))).alias("sizes")
+    ).filter("m > 1")
+    meets = F.exists(F.map_entries("sizes"), lambda e: (e["value"] > 1) | F.array_contains(F.map_keys("sizes"), e["key"] + 1))
+    # Similar sets share most of their keys.
+    keys = keys.filter(meets).groupBy("m", "who", "also").agg(F.min_by(F.struct("key", "sizes"), "key").alias("k")).select("k.key", "k.sizes", "m")
+    met = skew_join(keyed, cut(keys, "keys"), "key", "m")
+
+    def dealt(b: Column) -> Column:
+        """Tiles of a band: by number of sets, and by the bytes of their bitmaps (at most 2 x 2 / 8 bytes an element)."""
+        most = F.pow(F.lit(1 / threshold), b + 1) / 2 + BITS // 8
+        rows = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / most)))
+        return F.ceil(F.try_element_at("sizes", b) / rows).cast("int")
+
+    b = F.col("band")
+    met = met.select("key", "cls", "n", "band", F.try_element_at("sizes", b).alias("m"), dealt(b).alias("s"), dealt(b + 1).alias("s_up"), dealt(b - 1).alias("s_down"))
+    met = met.withColumn("t", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
+    t = F.col("t")
 
     def pair(b: Column, t: Column, b2: Column, t2: Column) -> Column:
         return F.xxhash64("key", b, t, b2, t2)
 
-    b, t = F.col("band"), F.col("t")
-    same = F.transform(
-        F.sequence(F.lit(0), F.col("s") - 1),
-        lambda o: F.struct(
-            pair(b, F.least(t, o), b, F.greatest(t, o)).alias("tile"),
-            F.when(o != t, (o < t).cast("int")).alias("side"),
+    same = F.when(
+        F.col("m") > 1,
+        F.transform(
+            F.sequence(F.lit(0), F.col("s") - 1),
+            lambda o: F.struct(pair(b, F.least(t, o), b, F.greatest(t, o)).alias("tile"), F.when(o != t, (o < t).cast("int")).alias("side")),
         ),
     )
     above = F.when(
@@ -111,9 +141,8 @@ def tiles(sketched: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("s_down") - 1), lambda o: F.struct(pair(b - 1, o, b, t).alias("tile"), F.lit(1).alias("side"))),
     )
     none = F.array().cast("array<struct<tile:bigint,side:int>>")
-    dealt = hot.select(F.inline(F.concat(same, F.coalesce(above, none), F.coalesce(below, none))), "cls", "n")
-    # Bitmaps join last, so that the classes that meet nobody never move theirs.
-    whole = small.unionByName(dealt)
+    whole = met.select(F.inline(F.concat(*[F.coalesce(x, none) for x in (same, above, below)])), "cls", "n")
+    # Bitmaps join last, so that the sets that meet nobody never move theirs.
     return whole.join(sketched.select("cls", "bits"), "cls").select("tile", "side", "cls", "n", "bits")
 
 
@@ -134,8 +163,9 @@ def _candidates(threshold: float):
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok &= (low >= threshold * high) & (cls[i] != cls[j])
             x, y = i[ok], j[ok]
-            for at in range(0, len(x), 16384):
-                p, q = x[at : at + 16384], y[at : at + 16384]
+            block = max(64, (1 << 20) // bits.shape[1])
+            for at in range(0, len(x), block):
+                p, q = x[at : at + block], y[at : at + block]
                 differ = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
                 both = n[p] + n[q]
                 keep = (both - differ) / 2 >= need * both - 1e-9
@@ -150,11 +180,18 @@ def _candidates(threshold: float):
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if not t.num_rows:
                 return
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(t.num_rows, BITS // 64)
-            side = t.column("side").fill_null(-1).to_numpy()
-            args = t.column("tile").to_numpy(), side, t.column("cls").to_numpy(), t.column("n").to_numpy().astype(np.int64), bits
-            for a, b in pairs(*args):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            tile, side = t.column("tile").to_numpy(), t.column("side").fill_null(-1).to_numpy()
+            cls, n = t.column("cls").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            # Bitmaps of a tile are compared at the width of the narrowest.
+            widths = 8 * pc.binary_length(t.column("bits")).to_numpy().astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            narrow = np.repeat(np.minimum.reduceat(widths, first), np.diff(first, append=len(tile)))
+            maps = t.column("bits")
+            for width in np.unique(narrow).tolist():
+                at = np.flatnonzero(narrow == width)
+                bits = np.stack([folded(maps[i].as_py(), width) for i in at.tolist()])
+                for a, b in pairs(tile[at], side[at], cls[at], n[at], bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -162,7 +199,7 @@ def _candidates(threshold: float):
             t = pa.Table.from_batches([b])
             t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
             ids = t.column("tile").to_numpy()
-            # The last tile of a batch may go on in the next; a tile has at most two sides of TILE rows.
+            # The last tile of a batch may go on in the next; a tile has at most two sides of bounded size.
             first = int(np.searchsorted(ids, ids[-1], side="left")) if ids[0] <= ids[-1] else 0
             yield from work(t.slice(0, first).combine_chunks())
             rest = t.slice(first).combine_chunks()

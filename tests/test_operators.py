@@ -293,6 +293,35 @@ def test_hot_buckets_lose_no_pair(spark):
     assert want and want <= got
 
 
+def test_bitmaps_bound_and_prefixes_meet():
+    import numpy as np
+
+    from quern.operators import tiles
+
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 300, 5000, 60_000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(len(a) * 0.9)], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))
+        x, y = tiles.bitmap(a), tiles.bitmap(b)
+        width = 8 * min(len(x), len(y))
+        assert 8 * len(x) >= 2 * n
+        for w in {width, max(tiles.BITS, width // 4)}:
+            differ = int(np.bitwise_count(tiles.folded(x, w) ^ tiles.folded(y, w)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+        sim = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert set(tiles.prefix_keys(a, sim)) & set(tiles.prefix_keys(b, sim))
+    assert len(tiles.prefix_keys(np.zeros(0, np.uint64), 0.7)) == 0
+
+
+def test_skew_join_with_a_hot_key(spark):
+    from quern.operators.joins import skew_join
+
+    left = spark.createDataFrame([(i % 5 if i < 50 else 7, i) for i in range(200)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("m")).withColumn("x", F.col("k") * 2).filter("k <> 3")
+    want = rows(left.join(right.drop("m"), "k"))
+    assert rows(skew_join(left, right, "k", "m", hot=20)) == rows(skew_join(left, right, "k", "m")) == want
+
+
 def test_scores(spark):
     df = spark.createDataFrame([("g", 1, "x ISBN"), ("g", 2, "a b c d e f g h"), ("g", 3, "a b c d e f g h"), ("h", 4, None)], "g string, o int, t string")
     words = F.coalesce(F.size(F.split("t", " ")), F.lit(0))
