@@ -58,7 +58,7 @@ def brute_pairs(docs, threshold=0.7):
     return sorted((a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]))
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     random.seed(1)
     base = ["".join(random.choice("abcdefgh 漢字仮名。") for _ in range(n)) for n in (30, 300, 3000)]
     docs = [(f"r{i}", "".join(random.choice("abcdefgh") for _ in range(random.randint(0, 400)))) for i in range(40)]
@@ -75,8 +75,14 @@ def test_near_duplicates(spark):
     assert len(want) > 20
     assert rows(neardup.found(df)) == want
     assert rows(neardup.found(df, tile=4)) == want
-    groups = {r["id"]: r["group"] for r in neardup.groups(df).collect()}
-    assert all(groups[a] == groups[b] for a, b in want) and "s" not in groups
+    assert rows(neardup.found(df, exact=True)) == want
+    groups = {r["id"]: r for r in neardup.groups(df).collect()}
+    assert all(groups[a]["group"] == groups[b]["group"] for a, b in want) and set(groups) == {d[0] for d in docs} - {None}
+    assert all(groups[i]["class"] is groups[i]["group"] is None and groups[i]["links"] == 0 for i in "nest")
+    # Texts that share a class by hash are told apart, and blocks of two members make all pairs.
+    monkeypatch.setattr(neardup, "PARTNERS", 2)
+    monkeypatch.setattr(neardup, "classed", lambda d, f=neardup.classed: f(d).withColumn("cls", F.pmod("cls", F.lit(3)).cast("long")))
+    assert rows(neardup.found(df)) == want
     assert neardup.found(df.limit(0)).count() == 0
 
 
