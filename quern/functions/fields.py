@@ -49,6 +49,21 @@ def with_title(title: Column, text: Column, always: bool = False) -> Column:
     return F.when(has, F.concat(title, F.lit("\n\n"), text)).otherwise(text)
 
 
+def plain_time(c: Column) -> Column:
+    """A time in a string with a space for the T between date and time."""
+    return F.replace(c, F.lit("T"), F.lit(" "))
+
+
+def id_or_line(given: Column, stem: Column, line: Column) -> Column:
+    """The given id, or ``{stem}_{line}`` where it is null or empty."""
+    return F.coalesce(F.nullif(given, F.lit("")), F.concat(stem, F.lit("_"), line.cast("string")))
+
+
+def prefixed_id(prefix: Column, given: Column) -> Column:
+    """``{prefix}_{id}``, as code files are named by language; null parts are ''."""
+    return F.concat(F.coalesce(prefix, F.lit("")), F.lit("_"), F.coalesce(given.cast("string"), F.lit("")))
+
+
 def id_or_hash(given: Column, text: Column) -> Column:
     """The given id, or the md5 of the text where it is null or empty."""
     return F.coalesce(F.nullif(given, F.lit("")), F.md5(text))
@@ -87,12 +102,12 @@ def script_language(sample: Column) -> Column:
 
 
 def path_fields(path: Column) -> Column:
-    """Struct (title, id) from company/game[@x]/.../chapter[@x][_zh|_cn|_f].txt; a lone file gives its stem."""
+    """Struct (title, id) of a relative path company/game[@x]/.../chapter[@x][_zh|_cn|_f].txt; a lone file gives its stem."""
     parts = F.split(path, "/")
-    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
     company, game = F.element_at(parts, 1), F.split_part(F.try_element_at(parts, F.lit(2)), F.lit("@"), F.lit(1))
     chapter = F.regexp_replace(F.split_part(stem, F.lit("@"), F.lit(1)), r"(?i)(_zh|_cn|_f)+$", "")
-    deep = F.size(parts) >= 3
+    deep = F.size(parts) >= 2
     return F.struct(
         F.when(deep, F.concat(game, F.lit(" - "), chapter)).otherwise(F.replace(stem, F.lit("_"), F.lit(" "))).alias("title"),
         F.when(deep, F.regexp_replace(F.concat_ws("_", company, game, chapter), r"(?U)[^\w\-]", "_")).otherwise(stem).alias("id"),

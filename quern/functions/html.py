@@ -18,6 +18,10 @@ COMMON = (
 )
 
 
+#: An ampersand that may begin an entity beyond the common ones.
+_RARE = r"&(?!(?:" + "|".join(name[1:-1] for name, _ in COMMON) + r");)[#A-Za-z]"
+
+
 @F.pandas_udf(T.StringType())
 def unescape_all(column: pd.Series) -> pd.Series:
     """Every named and numeric entity, as Python's html.unescape."""
@@ -25,23 +29,22 @@ def unescape_all(column: pd.Series) -> pd.Series:
 
 
 def unescape(c: Column) -> Column:
-    """The common entities, on the JVM side."""
+    """Every entity: on the JVM where a text has only common ones; only the other texts' content reaches Python."""
+    common = c
     for name, sign in COMMON:
-        c = F.replace(c, F.lit(name), F.lit(sign))
-    return c
+        common = F.replace(common, F.lit(name), F.lit(sign))
+    return F.coalesce(unescape_all(F.when(c.rlike(_RARE), c)), common)
 
 
-def clean_html(c: Column, every_entity: bool = False) -> Column:
+def clean_html(c: Column) -> Column:
     """Text of an HTML fragment; '' for null.
 
-    In order: entities (hence escaped tags go too), images to their alternative text, links without
-    inner tags to their body, other tags away (script and style bodies stay), three or more line
-    ends to two, runs of spaces to one, white space at the ends away.
+    In order: entities (hence escaped tags go too), images to their alternative text, other tags away (their
+    bodies stay, those of scripts and styles too), three or more line ends to two, runs of spaces to one,
+    white space at the ends away.
     """
-    c = F.coalesce(c, F.lit(""))
-    c = unescape_all(c) if every_entity else unescape(c)
-    c = F.regexp_replace(c, r"""<img[^>]*\balt=["']([^"']*)["'][^>]*>""", "$1")
-    c = F.regexp_replace(c, r"<a\b[^>]*>([^<]*)</a>", "$1")
+    c = unescape(F.coalesce(c, F.lit("")))
+    c = F.regexp_replace(c, r"""<img[^>]*alt=["']([^"']*)["'][^>]*>""", "$1")
     c = F.regexp_replace(c, r"<[^>]+>", "")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     c = F.regexp_replace(c, r" {2,}", " ")

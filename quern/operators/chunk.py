@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -37,7 +38,7 @@ class RegexTokenizer:
 
 
 class FileTokenizer:
-    """A tokenizer.json of the tokenizers library, loaded once per worker."""
+    """A tokenizer.json of the tokenizers library, loaded once per worker; strings of its special tokens are ordinary text."""
 
     def __init__(self, path: str) -> None:
         self.path, self.own = path, None
@@ -50,6 +51,7 @@ class FileTokenizer:
             from tokenizers import Tokenizer as Loaded
 
             self.own = Loaded.from_file(self.path)
+            self.own.encode_special_tokens = True
         return len(self.own.encode(text, add_special_tokens=False).ids)
 
 
@@ -64,18 +66,19 @@ def sentence_array(c: Column) -> Column:
 
 
 def hard_cut(text: str, tokens: Tokenizer, most: int) -> list[str]:
-    """The longest prefixes within the limit, at least one character each."""
+    """The longest prefixes within the limit, at least one character each; counts are taken to grow with the prefix.
+
+    The prefix is looked for in a window that doubles until it holds more than the limit, so a long text
+    isn't counted whole for each piece.
+    """
     out, at = [], 0
     while at < len(text):
-        low, high = 1, len(text) - at
-        while low < high:
-            mid = (low + high + 1) // 2
-            if tokens.count(text[at : at + mid]) <= most:
-                low = mid
-            else:
-                high = mid - 1
-        out.append(text[at : at + low])
-        at += low
+        window, rest = 2 * most, len(text) - at
+        while window < rest and tokens.count(text[at : at + window]) <= most:
+            window *= 2
+        n = bisect_right(range(1, min(window, rest) + 1), most, key=lambda k: tokens.count(text[at : at + k]))
+        out.append(text[at : at + max(n, 1)])
+        at += max(n, 1)
     return out
 
 
@@ -100,14 +103,15 @@ def chunk_text(text: str, tokens: Tokenizer, most: int, by_sentence: bool = True
     out, held, n = [], "", 0
     for block in blocks:
         size = tokens.count(block)
-        if held and n + size > most:
-            out.append(held)
-            held, n = "", 0
-        elif held and n + size > 0.9 * most and tokens.count(held + block) > most:
+        whole = n + size
+        # Near the limit the sum of the counts is replaced by the count of the whole.
+        if held and 0.9 * most < whole <= most:
+            whole = tokens.count(held + block)
+        if held and whole > most:
             out.append(held)
-            held, n = "", 0
+            held, whole = "", size
         held += block
-        n += size
+        n = whole
     return [*out, held] if held else out
 
 
@@ -136,8 +140,9 @@ def chunks(df: DataFrame, keys: list[str], text: str, tokens: Tokenizer, most: i
 def pack_lines(texts: list[str], title: str, tokens: Tokenizer, most: int, least: int) -> list[str]:
     """Lines of a book packed up to the limit, each sample with the title in front.
 
-    At the end of each text what is held is given out if it has ``least`` tokens; else a blank line
-    goes on with the next text.  What remains at the end is given out.
+    A sample's size is that of the title and a blank line and of its lines, each counted by itself; lines
+    without tokens are left out.  At the end of each text what is held is given out if it has ``least``
+    tokens with the title; else a blank line goes on with the next text.  What remains at the end is given out.
     """
     head = f"{title}\n\n"
     base = tokens.count(head)
@@ -145,21 +150,42 @@ def pack_lines(texts: list[str], title: str, tokens: Tokenizer, most: int, least
 
     def give() -> None:
         nonlocal held, n
-        body = "\n".join(held).strip()
-        if body:
-            out.append(head + body)
+        out.append(head + "\n".join(held).strip())
         held, n = [], base
 
     for text in texts:
         for line in text.split("\n"):
-            size = tokens.count(line + "\n")
+            size = tokens.count(line)
             if held and n + size > most:
                 give()
-            held.append(line)
             n += size
-        if n - base >= least:
-            give()
+            if size:
+                held.append(line)
+        if n >= least:
+            if held:
+                give()
         elif held:
             held.append("")
-    give()
+    if held:
+        give()
     return out
+
+
+def packed_books(df: DataFrame, key: str, title: str, texts: str, tokens: Tokenizer, most: int, least: int) -> DataFrame:
+    """``key, sample, tokens, text``: the samples of each book, ``texts`` being the array of its texts in order.
+
+    Null titles are ''; null texts are left out; a null array gives no sample.
+    """
+    own = df.select(F.col(key).alias("k"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.filter(F.col(texts), lambda x: x.isNotNull()).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # A book at a time, so that memory holds one and its samples.
+            for k, t, x in zip(*(c.to_pylist() for c in b.columns)):
+                made = pack_lines(x, t, tokens, most, least) if x else []
+                sizes = pa.array([tokens.count(m) for m in made], pa.int32())
+                n = pa.array(range(len(made)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(made), b.schema.field(0).type), n, sizes, pa.array(made, pa.string())], ["k", "sample", "tokens", "text"])
+
+    kind = dict(own.dtypes)["k"]
+    return own.mapInArrow(run, f"k {kind}, sample int, tokens int, text string").withColumnRenamed("k", key)

@@ -9,7 +9,7 @@ tile, to be decided exactly.  A bitmap is as wide as its set is large.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +26,8 @@ BITS = 256
 #: Sets in one side of a tile at most, and bytes of their bitmaps.
 TILE = 512
 TILE_BYTES = 1 << 25
+#: Partners that one task compares with the set of one class.
+PARTNERS = 1000
 
 _MIX1, _MIX2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -214,3 +216,50 @@ def candidates(sketched: DataFrame, threshold: float, tile: int = TILE) -> DataF
     met = tiles(sketched, threshold, tile)
     sorted_ = met.repartition("tile").sortWithinPartitions("tile")
     return sorted_.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct()
+
+
+def _exact(threshold: float, elements: Callable[[pa.Scalar], np.ndarray]):
+    """Rows (a, b, v) of a group: first the one with b null, whose v is the set of a, then its partners'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            cls, other = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            rows: list[tuple[int, int, float]] = []
+            for i, v in enumerate(batch.column("v")):
+                own = elements(v)
+                if other[i] is None:
+                    held = own
+                    continue
+                both = len(np.intersect1d(held, own, assume_unique=True))
+                sim = both / max(1, len(held) + len(own) - both)
+                if sim >= threshold:
+                    rows.append((cls[i], other[i], sim))
+            cols = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "sim"])
+
+    return run
+
+
+def decided(pairs: DataFrame, sets: DataFrame, threshold: float, elements: Callable[[pa.Scalar], np.ndarray]) -> DataFrame:
+    """``a, b, sim`` of the pairs (a, b) at or above the threshold, by intersecting sorted arrays.
+
+    ``sets`` (cls, v) has one row a class; ``elements`` gives the sorted distinct hashes that v stands for.
+    A pair goes to the class with more pairs, which meets its partners in groups of at most about
+    PARTNERS, so that its own set travels once a group and is made once.
+    """
+    ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("m"))
+    ends = cut(ends, "degrees")
+    a, b = (ends.select(F.col("cls").alias(c), F.col("m").alias(f"m{c}"), F.col("m").alias("_w")) for c in "ab")
+    known = skew_join(skew_join(pairs, a, "a", "_w"), b, "b", "_w")
+    busy = (F.col("ma") > F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
+    known = known.select(
+        F.when(busy, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(busy, F.col("b")).otherwise(F.col("a")).alias("b"), F.ceil(F.greatest("ma", "mb") / PARTNERS).alias("s")
+    )
+    known = cut(known.withColumn("part", F.pmod(F.xxhash64("b"), F.col("s"))).drop("s"), "grouped")
+    right = known.join(sets.select(F.col("cls").alias("b"), "v"), "b")
+    left = known.select("a", "part").distinct().join(sets.select(F.col("cls").alias("a"), "v"), "a").withColumn("b", F.lit(None).cast("long"))
+    rows = left.select("a", "part", "b", "v").unionByName(right.select("a", "part", "b", "v"))
+    met = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = met.select("a", "b", "v").mapInArrow(_exact(threshold, elements), "a bigint, b bigint, sim double")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")

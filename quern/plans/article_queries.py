@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.fields import parse_prediction, parse_tags
+from quern.functions.fields import normal_answer, parse_prediction, parse_tags
 from quern.functions.html import COMMON, clean_html
 from quern.operators import articles as A
+from quern.operators.batch import exact_match
 from quern.operators.joins import zip_join
 from quern.operators.waterfall import confusion, reason_counts
 from quern.registry import Registry
@@ -75,7 +76,17 @@ def clean_waterfall(spark, d):
 
 @R.query("clean_reason_counts", f"WITH {JUDGED} SELECT reason, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM j), 4) AS pct FROM j GROUP BY reason")
 def clean_reason_counts(spark, d):
-    return reason_counts(A.judged(latest_articles(spark, d)))
+    return reason_counts(A.judged(latest_articles(spark, d), clean_all=False))
+
+
+@R.query(
+    "clean_counters",
+    f"""WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER (reason = 'passed') AS passed, count(*) FILTER (reason IN ('short', 'short_after_clean')) AS short, count(*) FILTER (reason = 'low_view') AS low_view,
+      count(*) FILTER (reason = 'low_like') AS low_like, count(*) FILTER (reason = 'off_subject') AS off_subject, count(*) FILTER (reason = 'spam') AS spam, count(*) FILTER (reason IN ('empty', 'json_error', 'high_newline')) AS other,
+      coalesce((SELECT sum(length(to_json(o)))::BIGINT FROM (SELECT * EXCLUDE (rn_, clean, reason) REPLACE (clean AS content, length(clean) AS words) FROM j WHERE reason = 'passed') o), 0) AS chars FROM j""",
+)
+def clean_counters(spark, d):
+    return A.counters(A.judged(latest_articles(spark, d), clean_all=False))
 
 
 @R.query("html_clean", f"SELECT cvid, min({sql_clean('content')}) AS text FROM articles WHERE cvid IS NOT NULL GROUP BY cvid")
@@ -142,7 +153,7 @@ def positional_zip_join(spark, d):
       round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(fn / (tp + fn), 6) AS false_kill FROM n""",
 )
 def confusion_metrics(spark, d):
-    both = A.judged(latest_articles(spark, d)).join(scores(spark, d), "cvid")
+    both = A.judged(latest_articles(spark, d), clean_all=False).join(scores(spark, d), "cvid")
     return confusion(both, F.col("reason") == "passed", F.col("quality") == 1)
 
 
@@ -188,3 +199,78 @@ LINE = """CASE WHEN tags IS NULL OR tags = '' THEN NULL WHEN starts_with(trim(ta
 def article_text(spark, d):
     out = A.article_texts(latest_articles(spark, d), latest_comments(spark, d))
     return out.select("cvid", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+LEVELS = f"""{ROOTS}, subs AS (SELECT r.parent_rpid, r.rpos, r.rpid, s.rpos AS spos, s.rpid AS sub_rpid FROM replies r JOIN replies s ON s.parent_rpid = r.rpid)"""
+
+
+@R.query("comment_levels", f"WITH {LEVELS} SELECT r.cvid, r.pos, r.rpid AS root_rpid, s.rpos, s.rpid, s.spos, s.sub_rpid FROM roots r JOIN subs s ON s.parent_rpid = r.rpid")
+def comment_levels(spark, d):
+    roots, _, third = A.comment_levels(latest_articles(spark, d), latest_comments(spark, d))
+    root = roots.select("cvid", "pos", F.col("rpid").alias("root_rpid"))
+    return root.join(third, root["root_rpid"] == third["parent_rpid"]).select("cvid", "pos", "root_rpid", "rpos", "rpid", "spos", "sub_rpid")
+
+
+@R.query(
+    "merged_articles",
+    f"""WITH {LEVELS}, x AS (SELECT parent_rpid, rpid, string_agg(CAST(sub_rpid AS VARCHAR), ' ' ORDER BY spos) AS t FROM subs GROUP BY parent_rpid, rpid),
+    y AS (SELECT r.parent_rpid, string_agg(CAST(r.rpid AS VARCHAR) || ':' || coalesce(author_name, '') || '(' || coalesce(x.t, '') || ')', ' ' ORDER BY r.rpos) AS t FROM replies r LEFT JOIN x ON x.rpid = r.rpid AND x.parent_rpid = r.parent_rpid GROUP BY r.parent_rpid),
+    z AS (SELECT cvid, count(*) AS n, md5(string_agg(CAST(r.rpid AS VARCHAR) || ':' || coalesce(content, '') || '[' || coalesce(y.t, '') || ']', ' ' ORDER BY r.pos)) AS h FROM roots r LEFT JOIN y ON y.parent_rpid = r.rpid GROUP BY cvid)
+    SELECT a.cvid, coalesce(n, 0) AS n, coalesce(h, md5('')) AS h FROM a LEFT JOIN z ON z.cvid = a.cvid""",
+)
+def merged_articles(spark, d):
+    """Articles with their comments, replies and the replies to those nested in them, told by a fingerprint."""
+    out = A.merged_articles(latest_articles(spark, d), latest_comments(spark, d))
+
+    def listed(of, text):
+        return F.array_join(F.transform(of, text), " ")
+
+    def text(c):
+        return F.coalesce(c, F.lit(""))
+
+    third = lambda r: F.concat(r["rpid"].cast("string"), F.lit(":"), text(r["author_name"]), F.lit("("), listed(r["replies"], lambda s: s["rpid"].cast("string")), F.lit(")"))
+    first = lambda c: F.concat(c["rpid"].cast("string"), F.lit(":"), text(c["content"]), F.lit("["), listed(c["replies"], third), F.lit("]"))
+    return out.select("cvid", F.size("comments").alias("n"), F.md5(listed(F.col("comments"), first)).alias("h"))
+
+
+THREADS = f"""{ROOTS}, k AS (SELECT rpid, author_name AS "to" FROM c WHERE author_name IS NOT NULL),
+  e AS (SELECT r.*, k."to", CASE WHEN k."to" IS NULL THEN content ELSE regexp_replace(content, '@.+:', '@' || k."to" || ':', 'g') END AS told FROM replies r LEFT JOIN k ON k.rpid = r.parent),
+  under AS (SELECT parent_rpid AS at, rpos + 1 AS n, rpid AS next, concat_ws(' ', coalesce(author_name, '无名'), nullif(replace(publish_time, 'T', ' '), '')) || chr(10) || CASE WHEN "to" IS NOT NULL AND NOT starts_with(told, '回复 @') THEN '回复 @' || "to" || ':' || told ELSE told END AS t FROM e),
+  b1 AS (SELECT cvid, pos, 0 AS a, 0 AS b, rpid AS at, concat_ws(' ', coalesce(author_name, '无名'), nullif(replace(publish_time, 'T', ' '), '')) || chr(10) || content AS t FROM roots),
+  b2 AS (SELECT cvid, pos, n AS a, 0 AS b, next AS at, under.t FROM b1 JOIN under ON under.at = b1.at), b3 AS (SELECT cvid, pos, a, n AS b, next AS at, under.t FROM b2 JOIN under ON under.at = b2.at),
+  threads AS (SELECT cvid, string_agg(t, chr(10) || chr(10) ORDER BY pos, a, b, t) AS thread FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3) WHERE t IS NOT NULL GROUP BY cvid)"""
+
+
+@R.query("comment_threads", f"WITH {THREADS} SELECT cvid, length(thread) AS chars, md5(thread) AS h FROM threads")
+def comment_threads(spark, d):
+    out = A.thread_texts(latest_articles(spark, d), latest_comments(spark, d))
+    return out.select("cvid", F.length("thread").alias("chars"), F.md5("thread").alias("h"))
+
+
+NAMES = """CASE WHEN tags IS NOT NULL AND starts_with(trim(tags), '[') AND json_valid(tags) THEN
+  list_transform(json_extract(tags, '$[*]'), lambda e: CASE WHEN json_type(e) = 'OBJECT' THEN CAST(e AS VARCHAR) ELSE json_extract_string(e, '$') END) ELSE []::VARCHAR[] END"""
+BLOCKED = ", ".join(f"'{w}'" for w in A.BLOCKED)
+
+
+@R.query(
+    "labelled_articles",
+    f"""WITH {THREADS}, n AS (SELECT *, {NAMES} AS names FROM a), f AS (SELECT * FROM n WHERE words >= 512 AND content <> '' AND NOT coalesce(title IN ({BLOCKED}), false) AND NOT list_has_any(names, [{BLOCKED}])),
+    h AS (SELECT cvid, {sql_strip("concat_ws(chr(10) || chr(10), 'URL: ' || coalesce(link, ''), '标题: ' || coalesce(title, ''), '作者: ' || coalesce(author_name, ''), '发布日期: ' || coalesce(publish_time, ''), content, CASE WHEN len(names) > 0 THEN '标签: ' || array_to_string(names, ', ') ELSE '' END)")} AS t FROM f),
+    w AS (SELECT h.cvid, concat_ws(chr(10) || chr(10), h.t, {sql_strip('thread')}) AS x FROM h LEFT JOIN threads ON threads.cvid = h.cvid)
+    SELECT cvid, length(x) AS chars, md5(x) AS h FROM w""",
+)
+def labelled_articles(spark, d):
+    out = A.labelled_texts(latest_articles(spark, d), latest_comments(spark, d))
+    return out.select("cvid", F.length("text").alias("chars"), F.md5("text").alias("h"))
+
+
+@R.query(
+    "answers_match",
+    "SELECT round(avg(coalesce(translate(split_part(predict, chr(10), 1), '《》 　·', '') = q || ',' || d, false)::INT), 6) AS accuracy FROM "
+    "(SELECT predict, regexp_extract(predict, '([0-9])\\s*,\\s*([0-9])', 1) AS q, regexp_extract(predict, '([0-9])\\s*,\\s*([0-9])', 2) AS d FROM predictions)",
+)
+def answers_match(spark, d):
+    """Predictions whose normalised first line is the pair that was read from them, of all with one."""
+    p = table(spark, d, "predictions").select("predict", parse_prediction(F.col("predict")).alias("p"))
+    label = F.concat_ws(",", F.col("p.quality").cast("string"), F.col("p.domain").cast("string"))
+    return p.select(normal_answer(F.col("predict")).alias("a"), label.alias("l")).agg(F.round(exact_match(F.col("a"), F.col("l")), 6).alias("accuracy"))

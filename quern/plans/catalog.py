@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import article_queries, index_queries, sample_queries, text_queries
+from quern.plans import article_queries, index_queries, io_queries, sample_queries, text_queries
 from quern.registry import Registry
 
 R = Registry()
-for module in (article_queries, text_queries, index_queries, sample_queries):
+for module in (article_queries, text_queries, index_queries, sample_queries, io_queries):
     for name, query in module.R.queries.items():
         R.query(name, module.R.sql.get(name))(query)
 

@@ -63,18 +63,22 @@ def ship(spark: SparkSession) -> None:
     sc._quern_shipped = True
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver's JVM ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that its lineage ends there.
 
     The files survive the loss of executors and are deleted when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    at = scratch(df.sparkSession, name)
     df.write.parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def drop_cut(df: DataFrame) -> None:

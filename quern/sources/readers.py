@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import is_blank, strip
+from quern.operators.prefix import running_sum_by
+from quern.session import cut
 
 
 def _glob(spark: SparkSession, path: str) -> str:
@@ -28,6 +30,18 @@ def _glob(spark: SparkSession, path: str) -> str:
     return path
 
 
+def listing(spark: SparkSession, folders: list[str], suffix: str = ".jsonl") -> list[str]:
+    """Files with the suffix directly in each folder, sorted by name, folder by folder; missing folders are skipped."""
+    jvm, out = spark.sparkContext._jvm, []
+    for folder in folders:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p) and fs.getFileStatus(p).isDirectory():
+            names = sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isFile())
+            out += [f"{folder.rstrip('/')}/{n}" for n in names if n.endswith(suffix)]
+    return out
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
     """JSON lines of a file or of all files below a folder, with ``_corrupt`` for lines that are no JSON.
 
@@ -39,22 +53,45 @@ def jsonl(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl")
     return (reader.option("pathGlobFilter", pattern) if not at.endswith(".jsonl") else reader).schema(own).json(at)
 
 
-def jsonl_by_folder(spark: SparkSession, root: str, schema: str, skip: str = "formatted") -> DataFrame:
-    """JSON lines of root/{lang}/*.jsonl, with ``lang``; one folder name is skipped."""
-    rows = spark.read.schema(schema).json(f"{_glob(spark, root)}/*/*.jsonl").withColumn("lang", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+def jsonl_by_folder(spark: SparkSession, root: str, schema: str, skip: str = "formatted", pattern: str = "*.jsonl") -> DataFrame:
+    """JSON lines of root/{lang}/*.jsonl, with ``lang``; one folder name is skipped, and of ``key=value`` the value counts."""
+    rows = spark.read.schema(schema).json(f"{_glob(spark, root)}/*/{pattern}").withColumn("lang", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1))
     return rows.filter(F.col("lang") != skip)
 
 
-def lines_at(spark: SparkSession, path: str) -> DataFrame:
-    """``file_path, byte_offset, line`` of text files: the byte at which each line begins.
+def plain_path(c: Column) -> Column:
+    """The path of a file URL as it was given: no scheme in front of a local path, no escapes."""
+    raw = F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(raw, "^file:/+", "/")
+
 
-    Hadoop's input format gives the offset, so large files are read in splits.
+def lines_at(spark: SparkSession, paths: str | list[str], number: bool = False) -> DataFrame:
+    """``file_path, byte_offset, line`` of text files: the byte at which each line begins; with ``number`` also ``line_no`` from 0.
+
+    Files are read in splits.  A line's offset is the sum of the lengths before it: in its split by a
+    window, and over the splits of a file by their totals.  A byte order mark at the beginning of a file
+    belongs to no line but counts in the offsets.
     """
-    sc = spark.sparkContext
-    rdd = sc.newAPIHadoopFile(
-        _glob(spark, path), "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text"
-    )
-    return spark.createDataFrame(rdd, "byte_offset bigint, line string").withColumn("file_path", F.lit(path))
+    paths = [paths] if isinstance(paths, str) else paths
+    for p in paths:
+        _glob(spark, p)
+    if not paths:
+        return spark.createDataFrame([], "file_path string, byte_offset long, line string" + (", line_no long" if number else ""))
+    rows = spark.read.option("lineSep", "\n").text(paths).select(
+        plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"), (F.octet_length("value") + 1).cast("long").alias("_n"), F.col("value").alias("line"),
+    )
+    # Written, so that the order inside a split is fixed.
+    rows = cut(rows, "lines")
+    # What the lines don't account for is a mark of three bytes at the beginning; a missing last line end makes one byte too many.
+    marks = rows.groupBy("file_path").agg((F.max("_size") - F.sum("_n")).alias("_rest")).select("file_path", F.when(F.col("_rest") >= 2, 3).otherwise(0).alias("_mark"))
+    out = running_sum_by(rows, ["file_path"], F.col("_split"), [F.col("_at")], F.col("_n"), "_end")
+    if number:
+        out = running_sum_by(out, ["file_path"], F.col("_split"), [F.col("_at")], F.lit(1), "_no").withColumn("line_no", F.col("_no") - 1).drop("_no")
+    out = out.join(marks, "file_path")
+    # A carriage return before the line end is no part of the line.
+    line = F.regexp_replace("line", "\\r$", "")
+    return out.select("file_path", (F.col("_end") - F.col("_n") + F.col("_mark")).alias("byte_offset"), line.alias("line"), *(["line_no"] if number else []))
 
 
 def index_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -63,12 +100,9 @@ def index_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     idx follows the order of the paths and then of the offsets.  Blank and broken lines are skipped, but
     count in the offsets; a missing source is the folder two levels up, other fields have defaults.
     """
-    from quern.operators.prefix import running_sum_by
-
-    rows = None
-    for n, path in enumerate(paths):
-        one = lines_at(spark, path).withColumn("_file", F.lit(n))
-        rows = one if rows is None else rows.unionByName(one)
+    numbered = spark.createDataFrame([(n, p) for n, p in enumerate(paths)], "_file long, file_path string")
+    # One row a path of the list the driver holds anyway.
+    rows = lines_at(spark, paths).join(F.broadcast(numbered), "file_path")
     got = F.from_json("line", "source string, id string, split int, tokens int, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     rows = rows.filter(~is_blank(F.col("line"))).withColumn("_v", got).filter("_v is not null and _v._bad is null")
     above = F.regexp_extract("file_path", r"([^/]+)/[^/]*/[^/]*$", 1)
@@ -138,6 +172,21 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str, lower: int,
     return reader.options(**options).load()
 
 
+def keyset_pages(df: DataFrame, key: str, path: str, after: int, size: int) -> int:
+    """Copies the rows with a key above ``after`` as JSON lines, page by page in the order of the key; gives the last key copied.
+
+    Each page is one folder below ``path`` named by its first bound, so a stopped copy goes on from the last
+    key.  Meant for sources that only answer to ranges; a table Spark can read is read whole (``jdbc_table``).
+    """
+    while True:
+        page = df.filter(F.col(key) > after).orderBy(key).limit(size)
+        page.write.mode("overwrite").json(f"{path}/after={after}")
+        last = df.sparkSession.read.schema(f"{key} bigint").json(f"{path}/after={after}").agg(F.max(key)).first()[0]
+        if last is None:
+            return after
+        after = last
+
+
 _BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "br", "section", "article", "blockquote", "ul", "ol", "table", "body", "title"}
 _SILENT = {"script", "style", "rt", "rp", "head"}
 PAGE_BREAK = "\n[PAGE_SEP]\n"
@@ -245,8 +294,6 @@ def quiz_blocks(lines: DataFrame, number: str = "n", line: str = "line") -> Data
     every other line after the question is an option.  Blank lines and lines before the first stanza
     don't count.  ``block`` counts from 1.
     """
-    from quern.operators.prefix import running_sum_by
-
     own = lines.select(F.col(number).alias("n"), strip(F.col(line)).alias("t"), F.lit(0).alias("_all")).filter("t <> ''")
     own = running_sum_by(own, ["_all"], F.floor(F.col("n") / 100_000), [F.col("n")], F.col("t").startswith("题目：").cast("int"), "block").filter("block > 0")
     t = F.col("t")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,21 @@ def write_index(entries: DataFrame, pairs: DataFrame, path: str, mode: str = "er
 def json_length(df: DataFrame) -> Column:
     """Length of a row as compact JSON."""
     return F.length(F.to_json(F.struct(*df.columns)))
+
+
+def write_texts(df: DataFrame, path: str, name: str, text: str, mode: str = "error") -> None:
+    """One folder of text a value of ``name``, each text with a line end behind it, null texts as empty ones."""
+    df.select(F.col(name), F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode(mode).option("lineSep", "\n").partitionBy(name).text(path)
+
+
+def write_neighbours(pairs: DataFrame, path: str, mode: str = "error") -> None:
+    """Pairs (src, dst, sim) as adjacency lists, one JSON line a document with partners: ``key, near ARRAY<STRUCT<other, sim>>``, nearest first."""
+    both = pairs.select("src", "dst", "sim").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+    lists = both.groupBy(F.col("src").alias("key")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), F.col("dst").alias("other")))).alias("near"))
+    near = F.transform("near", lambda x: F.struct(x["other"].alias("other"), (-x["far"]).alias("sim")))
+    lists.select("key", near.alias("near")).write.mode(mode).json(path)
+
+
+def parquet_to_jsonl(spark: SparkSession, source: str, path: str, mode: str = "error") -> None:
+    """All rows of the Parquet files below a folder as JSON lines."""
+    write_jsonl(spark.read.option("recursiveFileLookup", "true").parquet(source), path, mode)

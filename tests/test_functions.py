@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from quern.functions import fields as X
-from quern.functions.html import clean_html, unescape_all
+from quern.functions.html import clean_html, unescape
 from quern.functions.text import is_blank, narrow, pages_in_order, strip, whole_text
 
 
@@ -42,7 +42,10 @@ def test_clean_html(spark):
     }
     for raw, want in cases.items():
         assert one(spark, raw, clean_html) == want, raw
-    assert one(spark, "&eacute;&#20013;&amp;", unescape_all) == html.unescape("&eacute;&#20013;&amp;")
+    # Every entity, not only the common ones; escaped once is decoded once.
+    for raw in ("&eacute;&#20013;&amp;", "&#x4e2d;&ndash;&times;", "&amp;eacute; &quot;", "&copy 1 &notit; &bogus;", "a & b &; &#0;", "&nbsp;x"):
+        assert one(spark, raw, unescape) == html.unescape(raw), raw
+    assert one(spark, "&#60;b&#62;x&#x3c;/b&gt;&rsquo;", clean_html) == "x’"
 
 
 def test_tags(spark):

@@ -1,7 +1,10 @@
 """Operators against literal results and plain Python."""
 
+import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import articles as A
@@ -111,7 +114,7 @@ def test_comment_tree_and_text(spark):
             (20, "回复 @A :0123456789", "R", None, 10, None), (21, "回复 @A :012345678", "S", 9, 10, None),
         ],
         "rpid long, content string, author_name string, likes long, parent long, comment_ids string",
-    )
+    ).withColumn("publish_time", F.lit(None).cast("string"))
     roots, replies = A.comment_edges(arts, com)
     assert rows(roots.select("cvid", "pos", "rpid")) == [(1, 0, 10), (1, 1, 11), (1, 3, 12)]
     assert rows(replies.select("parent_rpid", "rpos", "rpid")) == [(10, 0, 20), (10, 1, 21)]
@@ -120,6 +123,19 @@ def test_comment_tree_and_text(spark):
     assert texts[2] == "\n\n\nb2" and 3 not in texts
     threads = dict(rows(A.thread_texts(arts, com)))
     assert threads == {1: "A\nten chars!!\n\nR\n回复 @A:0123456789\n\nS\n回复 @A:012345678\n\nB\nshort\n\n无名\ntwelve\nchars here"}
+    # A third level, times, a comment without content whose replies stay.
+    deep = [(10, None, "A", '["20"]', 0, "t0"), (20, "x @q: y", "R", '["30"]', 10, "2020-01-01T10:00:00"), (30, "z", None, "[]", 20, "")]
+    deep = spark.createDataFrame(deep, "rpid long, content string, author_name string, comment_ids string, parent long, publish_time string").withColumn("likes", F.lit(None).cast("long"))
+    assert dict(rows(A.thread_texts(arts, deep))) == {1: "R 2020-01-01 10:00:00\n回复 @A:x @A: y\n\n无名\n回复 @R:z"}
+    whole = {r["cvid"]: r["comments"] for r in A.merged_articles(arts, deep).collect()}
+    assert whole[2] == whole[3] == [] and [c["rpid"] for c in whole[1]] == [10]
+    assert whole[1][0]["replies"][0]["replies"][0]["rpid"] == 30 and whole[1][0]["replies"][0]["content"] == "x @q: y"
+    _, _, third = A.comment_levels(arts, deep)
+    assert rows(third.select("parent_rpid", "rpid", "spos", "sub_rpid")) == [(10, 20, 0, 30)]
+    arts = arts.withColumn("words", F.lit(600)).withColumn("link", F.lit("L"))
+    got = dict(rows(A.labelled_texts(arts, deep)))
+    assert got[1] == "URL: L\n\n标题: T \n\n作者: me\n\n发布日期: 2020\n\nbody\n\n标签: a\n\nR 2020-01-01 10:00:00\n回复 @A:x @A: y\n\n无名\n回复 @R:z"
+    assert got[2].endswith("b2") and A.labelled_texts(arts, deep, blocked=["T ", "a"]).filter("cvid = 1").count() == 0
     ids = spark.createDataFrame([('["1","x","2"]',), ("[]",), (None,)], "c string").select(A.id_list(F.col("c")))
     assert [r[0] for r in ids.collect()] == [[1], [], []]
 
@@ -204,7 +220,65 @@ def test_book_samples():
     tokens = chunk.CharTokenizer()
     out = chunk.pack_lines(["aaa\nbbb\nccc", "dd"], "T", tokens, 12, 100)
     assert all(s.startswith("T\n\n") for s in out) and "".join(s[3:] for s in out).replace("\n", "") == "aaabbbcccdd"
-    assert all(len(s) <= 12 for s in out)
+    assert all(len(s.replace("\n", "")) + 2 <= 12 for s in out)
+    # A text that isn't enough goes on behind a blank line; lines without tokens are left out; the last sample may be short.
+    assert chunk.pack_lines(["a\n\nb", "c"], "T", tokens, 100, 50) == ["T\n\na\nb\n\nc"]
+    assert chunk.pack_lines(["aaaa", "b"], "T", tokens, 100, 7) == ["T\n\naaaa", "T\n\nb"] and chunk.pack_lines(["", "\n"], "T", tokens, 9, 1) == []
+
+
+def test_packed_books(spark):
+    df = spark.createDataFrame([(1, "T", ["a", None, "b"], "x"), (2, None, ["c"], "x"), (3, "E", None, "x"), (4, "E", [], "x")], "k long, title string, texts array<string>, sample string")
+    out = chunk.packed_books(df, "k", "title", "texts", chunk.CharTokenizer(), 100, 50)
+    assert rows(out) == [(1, 0, 7, "T\n\na\n\nb"), (2, 0, 3, "\n\nc")]
+
+
+def test_chunks_by_counts_that_do_not_add_up():
+    """Against the definition in plain words, with a tokenizer whose counts merge at the joints."""
+
+    class Merging:
+        def count(self, text):
+            return len(re.findall(r"aab|ab|ba|[^ab]|a+|b", text))
+
+    def plain(text, most, count):
+        blocks = []
+        for p in re.findall(r"(?s).*?\n\n|.+$", text):
+            for line in [p] if count(p) <= most else re.findall(r"[^\n]*\n|[^\n]+", p):
+                for s in [line] if count(line) <= most else chunk.sentences(line):
+                    while count(s) > most:
+                        n = max(k for k in range(1, len(s) + 1) if k == 1 or all(count(s[:j]) <= most for j in range(1, k + 1)))
+                        blocks.append(s[:n])
+                        s = s[n:]
+                    blocks.append(s)
+        out, held, n = [], "", 0
+        for block in filter(None, blocks):
+            estimate = n + count(block)
+            exact = count(held + block) if estimate > 0.9 * most else estimate
+            if estimate > most or exact > most:
+                out += [held] if held else []
+                held, n = block, count(block)
+            else:
+                held, n = held + block, exact
+        return out + [held] if held else out
+
+    random.seed(9)
+    for _ in range(300):
+        text = "".join(random.choice("aaabb .。\n") for _ in range(random.randint(0, 120)))
+        most = random.randint(3, 12)
+        got = chunk.chunk_text(text, Merging(), most)
+        assert "".join(got) == text
+        if "\n\n\n" not in text:
+            assert got == plain(text, most, Merging().count), (text, most)
+
+
+def test_chunks_by_a_public_tokenizer():
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer here")
+    tokens = chunk.FileTokenizer(path)
+    random.seed(10)
+    text = " ".join(random.choice(["the", "unbelievable", "漢字仮名", "x1", "<|endoftext|>"]) + random.choice(["", ".", "\n", "\n\n"]) for _ in range(400))
+    out = chunk.chunk_text(text, tokens, 60)
+    assert "".join(out) == text and all(tokens.count(c) <= 60 for c in out) and tokens.count("<|endoftext|>") > 1
 
 
 def test_exact_and_near_copies(spark):
@@ -226,9 +300,14 @@ def test_exact_and_near_copies(spark):
     assert rows(dedup.near_pairs(df, "k", "t")) == want
     copies = {r["k"]: (r["first"], r["copies"]) for r in dedup.exact_copies(df, "k", "t").collect()}
     assert copies[50] == (0, 2) and copies[61] == (60, 2)
-    nodes = spark.createDataFrame([(0, 1.0), (1, 5.0), (2, 2.0), (10, None)], "id long, score double")
+    nodes = spark.createDataFrame([(0, 1, 0), (1, 5, 0), (2, 2, 0), (10, None, None)], "id long, marks int, words long")
     edges = dedup.near_pairs(df, "k", "t")
-    assert rows(dedup.star_select(edges, nodes)) == [(0, False), (1, True), (2, False), (10, True)]
+    assert rows(dedup.star_select(edges, nodes).select("id", "kept")) == [(0, False), (1, True), (2, False), (10, True)]
+    # Keys of another type are ordered as they are.
+    names = df.select(F.concat(F.lit("n"), (F.col("k") + 100).cast("string")).alias("k"), "t")
+    assert [r[0] for r in rows(dedup.near_pairs(names, "k", "t"))] == [f"n{a + 100}" for a, _, _ in want]
+    nodes = nodes.withColumn("id", F.concat(F.lit("n"), (F.col("id") + 100).cast("string")))
+    assert rows(dedup.star_select(dedup.near_pairs(names, "k", "t"), nodes).select("id", "kept")) == [("n100", False), ("n101", True), ("n102", False), ("n110", True)]
 
 
 def test_near_copies_name_every_member(spark):
@@ -251,7 +330,7 @@ def test_copies_go_with_their_class(spark):
     texts += [[random.choice(words) for _ in range(100)] for _ in range(6)]
     docs = [(i, " ".join(t if i % 5 else [w.upper() for w in t])) for i, t in enumerate(random.choice(texts[: 1 + n % len(texts)]) for n in range(90))]
     docs += [(90 + i, " ".join(texts[3])) for i in range(45)] + [(200, ""), (201, " \n"), (202, None), (203, "…"), (204, "…"), (205, "!!")]
-    score = {k: float(random.randint(0, 9)) for k, _ in docs}
+    score = {k: (random.randint(0, 2), random.choice([0, 3, 40, 90])) for k, _ in docs}
     sets = {}
     for k, t in docs:
         w = (t or "").lower().split()
@@ -261,12 +340,30 @@ def test_copies_go_with_their_class(spark):
         if a in want:
             continue
         cluster = [a, *(b for b in sorted(sets) if b != a and b not in want and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)]
-        best = max(cluster, key=lambda x: (score[x], -x))
+        most = max(score[x][1] for x in cluster)
+        best = max(cluster, key=lambda x: (score[x][0] + score[x][1] / max(1, most // 4), -x))
         want |= {x: x == best for x in cluster}
     members, near = dedup.near_classes(spark.createDataFrame(docs, "k long, t string"), "k", "t")
-    nodes = spark.createDataFrame(list(score.items()), "id long, score double")
+    nodes = spark.createDataFrame([(k, *v) for k, v in score.items()], "id long, marks int, words int")
     got = dedup.star_select(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes, members.withColumnRenamed("k", "id"))
-    assert rows(got) == sorted(want.items())
+    assert rows(got.select("id", "kept")) == sorted(want.items())
+
+
+def test_stars_by_rounds_are_the_greedy_ones(spark):
+    random.seed(11)
+    edges = {tuple(sorted(random.sample(range(60), 2))) for _ in range(90)} | {(100 + i, 101 + i) for i in range(12)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for a in sorted(near):
+        if a not in want:
+            want |= {x: a for x in [a, *(b for b in near[a] if b not in want)]}
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    # A node that isn't named is a center of its own.
+    for most in (dedup.TASK_EDGES, 6):
+        assert {n: n for n in want} | dict(rows(dedup._stars(df, most))) == want
 
 
 def test_dedup_star_select_keeps_one_copy(spark, tmp_path):
@@ -276,7 +373,7 @@ def test_dedup_star_select_keeps_one_copy(spark, tmp_path):
     text = " ".join("abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(60))
     docs = [(1, text), (2, text), (3, text.upper()), (4, text + " more"), (5, "alone of its kind"), (6, "alone of its kind"), (7, "…"), (8, "…"), (9, "!")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert rows(dedup_star_select(spark, str(tmp_path))) == [(1, False), (2, False), (3, False), (4, True), (5, True), (6, False), (7, True), (8, False), (9, True)]
+    assert rows(dedup_star_select(spark, str(tmp_path)).select("doc_id", "kept")) == [(1, False), (2, False), (3, False), (4, True), (5, True), (6, False), (7, True), (8, False), (9, True)]
 
 
 def test_hot_buckets_lose_no_pair(spark):
@@ -328,7 +425,22 @@ def test_scores(spark):
     best = {r["g"]: r["o"] for r in dedup.best_of_group(df, "g", "o", "t", F.when(F.col("t").isNull(), 0).otherwise(words)).collect()}
     assert best == {"g": 2, "h": 4}
     terms = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (3, "c", 1)], "k int, term string, tf int")
-    assert {(r["src"], r["dst"]) for r in dedup.bm25_scores(terms).collect()} == {(1, 2), (2, 1)}
+    import math
+
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 2)], "src int, dst int")
+    got = {(r["src"], r["dst"]): r["score"] for r in dedup.bm25_scores(terms, pairs).collect()}
+    side = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / (5 / 3)))
+    assert got == {(1, 2): round(math.log(1.5 / 2.5 + 1) * side(1, 3) * side(1, 1), 6), (1, 3): 0.0}
+
+
+def test_survivors(spark):
+    docs = spark.createDataFrame([(1, "drop me\n한글 a[PAGE_SEP]b c"), (2, "x"), (3, None)], "id long, text string")
+    kept = spark.createDataFrame([(1, True), (2, False), (3, True)], "id long, kept boolean")
+    titles = spark.createDataFrame([(1, "T"), (1, "T")], "id long, title string")
+    got = {r["meta"]["id"]: r for r in dedup.survivors(docs, kept, titles, ("drop me\n",)).collect()}
+    assert set(got) == {1, 3} and got[3]["meta"]["title"] == "Unknown" and got[3]["meta"]["total_words"] == 0
+    assert got[1]["meta"].asDict() == {"id": 1, "title": "T", "language": "en", "source_filename": "1.txt", "total_words": 3, "total_pages": 2}
+    assert got[1]["texts"]["0"]["text"] == "한글 a" and got[1]["texts"]["1"]["words"] == 2
 
 
 def test_mixing(spark):
