@@ -53,9 +53,19 @@ def pad_batch(df: DataFrame, batch: str, context: str, inputs: str, labels: str,
     ).drop("_c", "_i")
 
 
-def memory_slots(batch: Column, most: int, seed: int = 42) -> Column:
-    """One value in [1, most] a batch, by hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), batch), F.lit(most)) + 1
+def memory_slots(key: Column, most: int, seed: str = "42") -> Column:
+    """A value in [1, most] by the md5 of seed and key: one a sample, or one a batch if the batch is the key."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), key.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(most)) + 1
+
+
+def sample_slots(task: Column, key: Column, most: int, seed: str = "42") -> Column:
+    """Memory slots of a sample: none for ntp; with a batch as key all others of the batch share one value."""
+    return F.when(task == "ntp", F.lit(0).cast("bigint")).otherwise(memory_slots(key, most, seed))
+
+
+def task_of(slots: Column, first_id: Column, ae: int) -> Column:
+    """Task of a sample by what is in it: no slots, the sign of reconstruction in front, or neither."""
+    return F.when(slots == 0, "ntp").when(F.coalesce(first_id == ae, F.lit(False)), "reconstruction").otherwise("continuation")
 
 
 def chat(df: DataFrame, key: str, turn: str, role: str, text: str, template: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Every task contracts the edges it reads into a forest (node -> smallest node it reaches there).
 Forests hold at most one edge per node, so merging them in groups shrinks the table level by level
 until one task can hold it.  A table that stays too large for one task is finished by rounds of
-star contraction instead, which never need a whole component in one place.
+hooking roots to smaller ones and handing roots down, which never need a whole component in one place,
+nor all nodes of one root.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.joins import skew_join
 from quern.session import cut, drop_cut
 
 #: Edges one task may hold (16 bytes each, about ten times that while it works).
@@ -110,10 +112,18 @@ def components(edges: DataFrame, max_task_edges: int = MAX_TASK_EDGES, fan_in: i
         return cut(_step(forest.repartition(1), 2 * max_task_edges), "components")
     width = 2 * fan_in * -(-n // max_task_edges)
     while not _is_star(forest):
-        both = forest.union(forest.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        large = _step(both.repartition(width, "node"), max_task_edges)
-        small = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root"))
-        merged = cut(_step(small.distinct().repartition(width, "node"), max_task_edges), "forest")
-        drop_cut(forest)
+        # The roots of a node are connected to the smallest of them.
+        lows = cut(forest.groupBy("node").agg(F.min("root").alias("low"), F.count("*").alias("n")), "lows")
+        more = forest.join(lows.filter("n > 1").select("node", "low"), "node").filter("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root"))
+        joined = cut(_step(lows.select("node", F.col("low").alias("root")).unionByName(more).repartition(width, "node"), max_task_edges), "forest")
+        # A root that is itself a node hands its own root down.  Roots of very many nodes are broadcast.
+        up = joined.groupBy("node").agg(F.min("root").alias("up"))
+        held = joined.groupBy("root").agg(F.count("*").alias("_w"))
+        hops = cut(held.join(up.withColumnRenamed("node", "root"), "root"), "hops")
+        short = skew_join(joined, hops, "root", "_w").select("node", F.col("up").alias("root"))
+        rest = joined.join(hops.select("root"), "root", "left_anti").select("node", "root")
+        merged = cut(short.unionByName(rest).distinct(), "forest")
+        for old in (forest, lows, joined, hops):
+            drop_cut(old)
         forest = merged
     return forest

@@ -8,13 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import strip
-from quern.operators.prefix import md5_rank, running_sum_by
+from quern.operators.prefix import bucket_bits, md5_rank, running_sum_by
 from quern.session import cut
 
-#: Splits of one document that are ordered in one task at most.
-SPAN = 4096
-
-
 def entries_once(entries: DataFrame) -> DataFrame:
     """One row an idx (repeated rows are identical); null split and tokens are 0, null source and id ''."""
     return entries.filter("idx is not null").dropDuplicates(["idx"]).select(
@@ -35,17 +31,20 @@ def tidy_source() -> Column:
 def with_next(entries: DataFrame) -> DataFrame:
     """Adds ``next_idx, next_split``: the next entry of the document (source, id) in the order (split, idx), null at its end.
 
-    A document is cut into spans of splits; the last entry of a span looks up the first of the next
-    one in a table of spans, so a document that holds a third of all rows is never ordered in one task.
+    All entries are cut into ranges of (source, id, split, idx); the last of a range looks up the first of the
+    next one.  So neither a document nor a split of one is ever ordered in one task, however many rows it has.
     """
-    own = entries.withColumn("_span", F.floor(F.col("split") / SPAN))
-    inside = Window.partitionBy("source", "id", "_span").orderBy("split", "idx")
-    own = own.withColumn("_n", F.lead(F.struct("idx", "split")).over(inside))
-    spans = own.groupBy("source", "id", "_span").agg(F.min(F.struct("split", "idx")).alias("_f"))
-    after = Window.partitionBy("source", "id").orderBy("_span")
-    spans = spans.select("source", "id", "_span", F.lead("_f").over(after).alias("_f")).filter("_f is not null")
-    own = own.join(spans, ["source", "id", "_span"], "left")
-    return own.withColumn("next_idx", F.coalesce("_n.idx", "_f.idx")).withColumn("next_split", F.coalesce("_n.split", "_f.split")).drop("_span", "_n", "_f")
+    order = ["source", "id", "split", "idx"]
+    # Written, so that a row stays in its range.
+    ranged = cut(entries.select(*order).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranged = ranged.withColumn("_n", F.lead(F.struct(*order)).over(Window.partitionBy("_part").orderBy(*order)))
+    # One row a range: as many as there are shuffle partitions.
+    firsts = ranged.groupBy("_part").agg(F.min(F.struct(*order)).alias("_f"))
+    after = firsts.select("_part", F.lead("_f").over(Window.orderBy("_part")).alias("_f"))
+    both = ranged.join(F.broadcast(after), "_part").withColumn("_n", F.coalesce("_n", "_f"))
+    same = (F.col("_n.source") == F.col("source")) & (F.col("_n.id") == F.col("id"))
+    found = both.filter(same).select("source", "id", "idx", F.col("_n.idx").alias("next_idx"), F.col("_n.split").alias("next_split"))
+    return entries.join(found, ["source", "id", "idx"], "left").select(*entries.columns, "next_idx", "next_split")
 
 
 def pairs(entries: DataFrame) -> DataFrame:
@@ -85,12 +84,15 @@ def upsample(entries: DataFrame, ratios: dict[str, int]) -> DataFrame:
     return copies.withColumn("id", F.when(F.col("copy") > 0, F.concat("id", F.lit("__up"), F.col("copy"))).otherwise(F.col("id")))
 
 
-def split_documents(docs: DataFrame, group: str, key: str, val: float, test: float, seed: str = "42", bits: int = 6) -> DataFrame:
+def split_documents(docs: DataFrame, group: str, key: str, val: float, test: float, seed: str = "42", bits: int | None = None) -> DataFrame:
     """``group, key, part``: per group, the first max(1, n x val) documents in md5 order are val, the next n x test are test.
 
-    ``docs`` has one row a document.  Ranks are distributed; a group with one document is val.
+    ``docs`` has one row a document.  Ranks are distributed over buckets of bounded size (``bits`` of the hash,
+    by the largest group unless given); a group with one document is val.
     """
-    sizes = docs.groupBy(group).agg(F.count("*").alias("_n"))
+    sizes = cut(docs.groupBy(group).agg(F.count("*").alias("_n")), "sizes")
+    if bits is None:
+        bits = bucket_bits(sizes.agg(F.max("_n")).first()[0] or 0)
     ranked = md5_rank(docs.select(group, key), [group], F.concat_ws("|", F.lit(seed), group, key), [key], "_r", bits).join(sizes, group)
     n_val = F.greatest(F.lit(1), F.floor(F.col("_n") * val))
     n_test = F.least(F.floor(F.col("_n") * test), F.greatest(F.col("_n") - n_val, F.lit(0)))
@@ -104,14 +106,20 @@ def _next_starts(end: np.ndarray, begin: np.ndarray, cap: int) -> np.ndarray:
     return np.maximum(j, np.arange(len(end)) + 1)
 
 
-def next_fit(items: DataFrame, group: str, order: str, size: str, cap: int, width: int = 100_000, block: int = 256) -> DataFrame:
+#: Blocks whose links one task follows.
+FAN = 256
+
+
+def next_fit(items: DataFrame, group: str, order: str, size: str, cap: int, width: int = 100_000, block: int = 256, fan: int = FAN) -> DataFrame:
     """Adds ``pack``: the ``order`` value of the first item of the container that next-fit puts a row into.
 
     Items of a group, in order, fill a container while their sum is within the cap.  Where a container
     begins depends on all before it, so it is resolved by blocks: from each row that can open a
-    container near the beginning of a block, the block is walked once to the row that opens a container
-    in the next; those few links per block are followed, and then each block assigns its rows.  A block
-    spans ``block`` x cap of the running sum; no task holds more.  Sizes null or below 1 count 1.
+    container near the beginning of a block, the block is walked to the row that opens a container in
+    the next.  These links are composed over ``fan`` blocks at a time, level by level, until one task
+    holds a group's; then the rows that open blocks are found level by level downwards, and each
+    block assigns its rows.  A block spans ``block`` x cap of the running sum; no task holds more than a
+    block or the links of ``fan`` blocks.  Sizes null or below 1 count 1.
     """
     # An item above the cap is alone however large it is.
     own = items.withColumn("_s", F.least(F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(1)), F.lit(cap + 1)).cast("long"))
@@ -121,37 +129,57 @@ def next_fit(items: DataFrame, group: str, order: str, size: str, cap: int, widt
     slim = own.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col("_begin").alias("b"), F.col("_end").alias("e"), F.col("_block").alias("k"))
     # Rows a container of the block before may still take belong to both blocks, and so does the first row after them.
     reach = slim.filter((F.col("k") > 0) & (F.col("b") <= F.col("k") * (block * cap) + cap + 1))
-    last = slim.groupBy("g", "k").agg(F.min("b").alias("b0"))
     both = slim.withColumn("at", F.col("k")).unionByName(reach.withColumn("at", F.col("k") - 1))
+    kind = dict(slim.dtypes)["g"]
+    link = f"g {kind}, k bigint, b bigint, to bigint"
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("b", kind="stable")
         at, g = int(pdf["at"].iloc[0]), pdf["g"].iloc[0]
         b, e, k = pdf["b"].to_numpy(), pdf["e"].to_numpy(), pdf["k"].to_numpy()
-        go = _next_starts(e, b, cap)
-        inside = k == at
-        n = len(b)
-        exit_ = np.full(n + 1, n)
-        for i in range(n - 1, -1, -1):
-            exit_[i] = i if not inside[i] else exit_[go[i]] if go[i] < n else n
+        inside, n = k == at, len(b)
+        # Each row's first row outside the block, by pointer doubling; n stands for the end.
+        jump = np.append(np.where(inside, _next_starts(e, b, cap), np.arange(n)), n)
+        while not np.array_equal(further := jump[jump], jump):
+            jump = further
         opens = np.flatnonzero(inside & (b <= max(b[inside][0] if inside.any() else 0, at * block * cap + cap + 1)))
-        to = exit_[opens]
+        to = jump[opens]
         return pd.DataFrame({"g": g, "k": at, "b": b[opens], "to": np.where(to < n, b[np.minimum(to, n - 1)], -1)})
 
-    kinds = dict(slim.dtypes)
-    table = both.groupBy("g", "at").applyInPandas(links, f"g {kinds['g']}, k bigint, b bigint, to bigint")
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Entries of the blocks of one group: one short link table a block, followed from the first."""
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """From each row that can open the first of the blocks to the row that opens the block after the last."""
         go = dict(zip(pdf["b"].tolist(), pdf["to"].tolist()))
-        block_of = dict(zip(pdf["b"].tolist(), pdf["k"].tolist()))
-        g, b, out = pdf["g"].iloc[0], int(pdf["b"].min()), []
+        starts = pdf.loc[pdf["k"] == pdf["k"].min(), "b"].tolist()
+        out = []
+        for b in starts:
+            to = b
+            while to in go:
+                to = go[to]
+            out.append(to)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "k": int(pdf["up"].iloc[0]), "b": starts, "to": out})
+
+    def opened(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows that open the blocks, followed from the row that opens the first of them."""
+        go, block_of = dict(zip(pdf["b"].tolist(), pdf["to"].tolist())), dict(zip(pdf["b"].tolist(), pdf["k"].tolist()))
+        g, b, out = pdf["g"].iloc[0], int(pdf["entry"].iloc[0]), []
         while b in go:
             out.append((g, block_of[b], b))
             b = go[b]
         return pd.DataFrame(out, columns=["g", "k", "entry"])
 
-    entries = table.groupBy("g").applyInPandas(follow, f"g {kinds['g']}, k bigint, entry bigint")
+    levels = [cut(both.groupBy("g", "at").applyInPandas(links, link), "links")]
+    most = levels[0].agg(F.max("k")).first()[0] or 0
+    while most >= fan:
+        upper = levels[-1].withColumn("up", F.floor(F.col("k") / fan))
+        levels.append(cut(upper.groupBy("g", "up").applyInPandas(composed, link), "links"))
+        most //= fan
+    entries = levels[-1].groupBy("g").agg(F.min("b").alias("entry")).withColumn("up", F.lit(0).cast("long"))
+    for level in reversed(levels):
+        # At the top all blocks of a group are one task's.
+        own_links = level.withColumn("up", F.floor(F.col("k") / fan))
+        entries = own_links.join(entries, ["g", "up"]).groupBy("g", "up").applyInPandas(opened, f"g {kind}, k bigint, entry bigint")
+        entries = cut(entries, "entries").withColumnRenamed("k", "up")
+    entries = entries.withColumnRenamed("up", "k")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("b", kind="stable")
@@ -162,17 +190,16 @@ def next_fit(items: DataFrame, group: str, order: str, size: str, cap: int, widt
         while i < len(b):
             start[i : go[i]] = i
             i = go[i]
-        # Rows before the entry are in a container that an earlier block opened.
+        # Rows before the entry are in a container that the block before opened.
         o = pdf["o"].to_numpy()
         return pd.DataFrame({"g": pdf["g"], "o": o, "k": pdf["k"], "b": b, "first": np.where(start >= 0, o[np.maximum(start, 0)], -1)})
 
     known = slim.join(entries, ["g", "k"], "left").fillna({"entry": -1})
-    done = cut(known.groupBy("g", "k").applyInPandas(assign, f"g {kinds['g']}, o bigint, k bigint, b bigint, first bigint"), "assigned")
-    # What an earlier block opened last: its last container reaches over.
+    done = cut(known.groupBy("g", "k").applyInPandas(assign, f"g {kind}, o bigint, k bigint, b bigint, first bigint"), "assigned")
+    # A block is wider than a container, so each opens one, and its last may reach into the next block only.
     tail = done.filter("first >= 0").groupBy("g", "k").agg(F.max(F.struct("b", "first")).alias("t"))
-    order_in = Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = last.select("g", "k").join(tail, ["g", "k"], "left").withColumn("before", F.last("t.first", ignorenulls=True).over(order_in))
-    done = done.join(blocks.select("g", "k", "before"), ["g", "k"]).withColumn("pack", F.when(F.col("first") >= 0, F.col("first")).otherwise(F.col("before")))
+    before = tail.select("g", (F.col("k") + 1).alias("k"), F.col("t.first").alias("before"))
+    done = done.join(before, ["g", "k"], "left").withColumn("pack", F.when(F.col("first") >= 0, F.col("first")).otherwise(F.col("before")))
     done = done.select(F.col("g").alias(group), F.col("o").alias(order), "pack")
     return own.drop("_s", "_end", "_begin", "_block").join(done, [group, order])
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.prefix import md5_rank, running_sum_by
+from quern.operators.prefix import bucket_bits, md5_rank, running_sum_by
 
 
-def shuffled(df: DataFrame, key: Column, ties: list[str], seed: str = "42", bits: int = 6) -> DataFrame:
-    """Adds ``place`` from 1: the position of a row in the order of the md5 of seed and key."""
+def shuffled(df: DataFrame, key: Column, ties: list[str], seed: str = "42", bits: int | None = None) -> DataFrame:
+    """Adds ``place`` from 1: the position of a row in the order of the md5 of seed and key.
+
+    Ranks are distributed over buckets of bounded size: ``bits`` of the hash, by the number of rows unless given.
+    """
+    if bits is None:
+        bits = bucket_bits(df.count())
     return md5_rank(df, [], F.concat_ws("|", F.lit(seed), key), ties, "place", bits)
 
 
@@ -29,10 +34,12 @@ def interleaved(df: DataFrame, file: str, order: str, turn: int = 1000, width: i
     return own.withColumn("turn", F.floor((F.col("line") - 1) / turn))
 
 
-def budget_sample(df: DataFrame, group: list[str], order: list[Column], size: Column, quota: Column) -> DataFrame:
-    """Rows of a group, in order, while their running size stays within the quota (the budget is the feature)."""
-    run = F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("used", run).filter(F.col("used") <= quota)
+def budget_sample(df: DataFrame, group: list[str], order: str, size: Column, quota: Column, width: int = 100_000) -> DataFrame:
+    """Rows of a group, in the order of a whole-number column, while their running size stays within the quota (the budget is the feature).
+
+    Adds ``used``, the running size; it is distributed over ranges of ``width`` of the order.
+    """
+    return running_sum_by(df, group, F.floor(F.col(order) / width), [F.col(order)], size, "used").filter(F.col("used") <= quota)
 
 
 def union_text(parts: list[tuple[str, DataFrame, str]]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,11 +11,13 @@ from quern.operators import batch as B
 from quern.operators import chunk, dedup, joins, mix
 from quern.operators import index as I
 from quern.operators.articles import comment_edges
-from quern.plans.article_queries import COMMENTS, LATEST, ROOTS, latest_articles, latest_comments, scores
+from quern.operators.prefix import running_sum_by
+from quern.plans.article_queries import COMMENTS, JUDGED, LATEST, ROOTS, latest_articles, latest_comments, scores, sql_strip
 from quern.plans.index_queries import TASK, once
 from quern.plans.index_queries import E as ENTRIES
+from quern.plans.text_queries import CHARS, sql_chunks
 from quern.registry import Registry
-from quern.session import shared_dir
+from quern.session import cut, scratch
 from quern.streaming import clean as S
 from quern.tables import table
 
@@ -59,13 +60,14 @@ def tiered_budget_sample(spark, d):
     tier = F.when(price > 1500, "a").when(price > 1200, "b").when(price > 1000, "c").otherwise("d")
     own = table(spark, d, "part").select("p_partkey", "p_brand", tier.alias("tier"), "p_size")
     quota = F.when(F.col("tier").isin("a", "b"), 200).otherwise(300)
-    return mix.budget_sample(own, ["p_brand", "tier"], [F.col("p_partkey")], F.col("p_size"), quota).select("p_partkey", "p_brand", "tier", "used")
+    return mix.budget_sample(own, ["p_brand", "tier"], "p_partkey", F.col("p_size"), quota).select("p_partkey", "p_brand", "tier", "used")
 
 
-RANGES = [(0, 49_999, "low"), (50_000, 149_999, "mid"), (150_000, 299_999, "high")]
+#: Nine ranges with gaps between them.
+RANGES = [(25_000 * n, 25_000 * n + 19_999, f"part{n}") for n in range(1, 10)]
 
 
-@R.query("range_bucket_join", "SELECT o_orderkey, CASE WHEN v BETWEEN 0 AND 49999 THEN 'low' WHEN v BETWEEN 50000 AND 149999 THEN 'mid' ELSE 'high' END AS name FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders) WHERE v BETWEEN 0 AND 299999")
+@R.query("range_bucket_join", "SELECT o_orderkey, 'part' || (v // 25000) AS name FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders) WHERE v BETWEEN 25000 AND 249999 AND v % 25000 <= 19999")
 def range_bucket_join(spark, d):
     ranges = spark.createDataFrame(RANGES, "lo bigint, hi bigint, name string")
     own = table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").alias("v"))
@@ -184,27 +186,12 @@ def lr_schedule(spark, d):
     return table(spark, d, "events").select("event_id", F.round(B.learning_rate(F.col("event_id"), F.lit(0.001), 1000, 500), 9).alias("lr"))
 
 
-@R.query(
-    "training_samples",
-    f"""WITH {ENTRIES}, t AS (SELECT *, {TASK} AS task FROM f), s AS (SELECT t.*, CASE WHEN merged THEN false WHEN task = 'reconstruction' THEN true ELSE NOT has_next END AS eos, p.src_idx FROM t LEFT JOIN p ON p.tgt_idx = t.idx),
-    i AS (SELECT idx, task, eos, least(greatest(tokens, 1), 12)::INT AS n, 10 - eos::INT - (task = 'reconstruction')::INT AS room FROM s)
-    SELECT idx, task, CASE task WHEN 'reconstruction' THEN least(n, 8) WHEN 'continuation' THEN 3 ELSE 1 END::INT AS context, (least(n, room) + eos::INT + (task = 'reconstruction')::INT)::INT AS inputs FROM i""",
-)
-def training_samples(spark, d):
-    own = I.flagged(once(spark, d)).withColumn("task", I.task(F.col("idx"), F.col("has_prev"), 1))
-    own = own.withColumn("eos", I.ends_text(F.col("task"), F.col("parts").isNotNull(), F.col("has_next")))
-    ids = F.sequence(F.lit(1), F.least(F.greatest("tokens", F.lit(1)), F.lit(12)))
-    before = F.array(*[F.lit(x) for x in (7, 8, 9)])
-    s = B.sample(F.col("task"), ids, before, F.col("eos"), 50001, 50002, 0, 10, 8)
-    return own.select("idx", "task", s.alias("s")).select("idx", "task", F.size("s.context_ids").alias("context"), F.size("s.input_ids").alias("inputs"))
-
-
 #: Tokens of context and of target of a sample, as in training.
 CONTEXT_MOST = TARGET_MOST = 4096
 
 
 @R.query(
-    "training_samples_full",
+    "training_samples",
     f"""WITH {ENTRIES}, t AS (SELECT f.*, {TASK} AS task, p.src_idx FROM f LEFT JOIN p ON p.tgt_idx = f.idx), s AS (SELECT t.*, b.tokens AS src_tokens FROM t LEFT JOIN e b ON b.idx = t.src_idx),
     i AS (SELECT idx, task, src_idx, (CASE WHEN merged THEN false WHEN task = 'reconstruction' THEN true ELSE NOT has_next END)::INT AS eos, (task = 'reconstruction')::INT AS ae,
       greatest(tokens, 0) AS n, greatest(src_tokens, 0) AS m, idx % 40000 + 1 AS a, src_idx % 40000 + 1 AS b FROM s),
@@ -214,7 +201,7 @@ CONTEXT_MOST = TARGET_MOST = 4096
       (body + eos + ae)::INT AS inputs, (CASE WHEN ae = 1 THEN 50001 WHEN body > 0 THEN a WHEN eos = 1 THEN 50002 END)::INT AS input_first,
       (CASE WHEN eos = 1 THEN 50002 WHEN body > 0 THEN a + body - 1 WHEN ae = 1 THEN 50001 END)::INT AS input_last FROM c""",
 )
-def training_samples_full(spark, d):
+def training_samples(spark, d):
     """Samples at the limits of training, from each entry's whole length and its true predecessor.
 
     The tables hold no texts of the entries, so the ids of an entry are a run of numbers that begins at
@@ -237,6 +224,79 @@ def training_samples_full(spark, d):
     )
 
 
+#: Sign of reconstruction, end and padding behind the code points.
+AE, END, PAD = 1_114_112, 1_114_113, 1_114_114
+IDS = "list_transform(range(1, length({0}) + 1), lambda i: unicode(substr({0}, i, 1)))"
+
+
+@R.query(
+    "training_texts",
+    f"""WITH RECURSIVE {sql_chunks('documents', 'doc_id', CHARS)}, n AS (SELECT doc_id, split, text, row_number() OVER (ORDER BY doc_id, split) - 1 AS idx FROM ch),
+    l AS (SELECT *, lead(split) OVER w IS NOT NULL AS has_next, split > 0 AS has_prev, lag(text) OVER w AS before FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY split)),
+    t AS (SELECT *, {TASK} AS task FROM l), i AS (SELECT *, {IDS.format('text')} AS ids, CASE WHEN before IS NULL THEN [] ELSE {IDS.format('before')} END AS b, task = 'reconstruction' OR NOT has_next AS eos, task = 'reconstruction' AS rec FROM t),
+    o AS (SELECT *, list_concat(ids[1:4096 - eos::INT - rec::INT], CASE WHEN eos THEN [{END}] ELSE [] END) AS body FROM i)
+    SELECT doc_id, split, task, array_to_string(CASE task WHEN 'reconstruction' THEN ids[1:4096] WHEN 'continuation' THEN b[1:4096] ELSE [{PAD}] END, ' ') AS context,
+      md5(array_to_string(CASE WHEN rec THEN list_concat([{AE}], body) ELSE body END, ' ')) AS inputs, md5(array_to_string(CASE WHEN rec THEN list_concat([-100], body) ELSE body END, ' ')) AS labels FROM o""",
+)
+def training_texts(spark, d):
+    """Samples of the chunks of documents, with the predecessor's text as context; a token is a code point."""
+    own = _chunked(table(spark, d, "documents").select("doc_id", F.lit("documents").alias("source"), "text"))
+    flags = I.flagged(own, previous=True).withColumn("task", I.task(F.col("idx"), F.col("has_prev"), 1))
+    flags = flags.withColumn("eos", I.ends_text(F.col("task"), F.col("parts").isNotNull(), F.col("has_next")))
+    before = own.select(F.col("idx").alias("prev_idx"), F.col("text").alias("before"))
+    both = flags.join(before, "prev_idx", "left")
+
+    def ids(text):
+        return F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda x: F.ascii(x))
+
+    none = F.array().cast("array<int>")
+    s = B.sample(F.col("task"), ids(F.col("text")), F.when(F.col("before").isNull(), none).otherwise(ids(F.col("before"))), F.col("eos"), AE, END, PAD, TARGET_MOST, CONTEXT_MOST)
+    told = both.select(F.col("id").cast("bigint").alias("doc_id"), "split", "task", s.alias("s"))
+
+    def line(c):
+        return F.array_join(c, " ")
+
+    return told.select("doc_id", "split", "task", line("s.context_ids").alias("context"), F.md5(line("s.input_ids")).alias("inputs"), F.md5(line("s.labels")).alias("labels"))
+
+
+def _chunked(docs):
+    """``idx, source, id, split, tokens, text, parts`` of chunks of 512 characters; idx counts them in the order of doc_id and split."""
+    made = cut(chunk.chunks(docs, ["doc_id", "source"], "text", chunk.CharTokenizer(), 512), "chunks")
+    sizes = made.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0))
+    upto = running_sum_by(sizes, ["_all"], F.floor(F.col("doc_id") / 100_000), [F.col("doc_id")], F.col("n"), "upto")
+    return made.join(upto.select("doc_id", (F.col("upto") - F.col("n")).alias("_first")), "doc_id").select(
+        (F.col("_first") + F.col("split")).alias("idx"), "source", F.col("doc_id").cast("string").alias("id"), "split", "tokens", "text",
+        F.lit(None).cast("array<struct<file_path:string,byte_offset:bigint>>").alias("parts"),
+    )
+
+
+SLOTS = "('0x' || left(md5('42|' || {0}), 8))::BIGINT % 8 + 1"
+
+
+@R.query(
+    "memory_slots",
+    f"WITH {ENTRIES}, t AS (SELECT *, {TASK} AS task FROM f) SELECT idx, task, CASE task WHEN 'ntp' THEN 0 ELSE {SLOTS.format('idx')} END AS slots, CASE task WHEN 'ntp' THEN 0 ELSE {SLOTS.format('(idx // 8)')} END AS batch_slots, task AS told FROM t",
+)
+def memory_slots(spark, d):
+    """Memory slots of a sample by itself and by its batch of eight, and the task as it is told from slots and first id."""
+    own = I.flagged(once(spark, d)).withColumn("task", I.task(F.col("idx"), F.col("has_prev"), 1))
+    own = own.withColumn("slots", B.sample_slots(F.col("task"), F.col("idx"), 8)).withColumn("first", F.when(F.col("task") == "reconstruction", AE).otherwise(1))
+    return own.select("idx", "task", "slots", B.sample_slots(F.col("task"), F.floor(F.col("idx") / 8), 8).alias("batch_slots"), B.task_of(F.col("slots"), F.col("first"), AE).alias("told"))
+
+
+@R.query(
+    "reply_jaccard",
+    f"""WITH c AS ({COMMENTS}), w AS (SELECT rpid, parent, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS s FROM c)
+    SELECT a.rpid, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 2) AS sim FROM w a JOIN w b ON b.rpid = a.parent""",
+)
+def reply_jaccard(spark, d):
+    """Word sets of each reply and the comment it answers."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("content", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    own = latest_comments(spark, d).select("rpid", "parent", words.alias("s"))
+    other = own.select(F.col("rpid").alias("parent"), F.col("s").alias("t"))
+    return own.join(other, "parent").select("rpid", F.round(dedup.jaccard(F.col("s"), F.col("t")), 2).alias("sim"))
+
+
 @R.query(
     "pad_collate",
     """WITH e AS (SELECT event_id, event_id // 8 AS b, (user_id % 7 + 1)::INT AS n FROM events), m AS (SELECT *, max(n) OVER (PARTITION BY b) AS w FROM e)
@@ -267,25 +327,35 @@ def _stream(spark, d, name):
 @R.query("stream_windowed_counts", "SELECT date_trunc('hour', ts)::TIMESTAMPTZ AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windowed_counts(spark, d):
     rows = S.windowed_counts(_stream(spark, d, "events"), "ts", "event_type", "value", delay="0 seconds")
-    q = rows.writeStream.outputMode("complete").format("memory").queryName(name := f"q{uuid.uuid4().hex}").option("checkpointLocation", f"{shared_dir(spark)}/quern-{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("total", F.round("total", 4))
+    return S.drain(spark, rows, scratch(spark, "windows"), "complete").withColumn("total", F.round("total", 4))
 
 
-@R.query("stream_clean")
+@R.query("stream_clean", f"WITH {JUDGED.replace(LATEST, 'SELECT * FROM articles')} SELECT cvid, reason, length(clean) AS chars FROM j")
 def stream_clean(spark, d):
     rows = S.cleaned_stream(_stream(spark, d, "articles")).select("cvid", "reason", F.length("clean").alias("chars"))
-    return S.drain(spark, rows, f"{shared_dir(spark)}/quern-stream-{uuid.uuid4().hex}")
+    return S.drain(spark, rows, scratch(spark, "stream"))
+
+
+@R.query(
+    "stream_first_seen",
+    "SELECT DISTINCT event_type, date_trunc('day', ts)::TIMESTAMPTZ AS day FROM events",
+)
+def stream_first_seen(spark, d):
+    """The first event of each type and day, within a watermark longer than the table."""
+    rows = _stream(spark, d, "events").withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp"))).withColumn("k", F.concat_ws("|", "event_type", F.col("day").cast("string")))
+    return S.drain(spark, S.first_seen(rows, "ts", "k", "400 days"), scratch(spark, "seen")).select("event_type", "day")
 
 
-@R.query("corpus_report")
+@R.query(
+    "corpus_report",
+    f"""WITH RECURSIVE d0 AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL AND {sql_strip('text')} <> '' GROUP BY text), {sql_chunks('d0', 'doc_id', CHARS)},
+    e AS (SELECT coalesce(t.source, '') AS source, ch.doc_id, ch.tokens, lead(split) OVER (PARTITION BY ch.doc_id ORDER BY split) IS NOT NULL AS has_next, split > 0 AS has_prev FROM ch JOIN documents t ON t.doc_id = ch.doc_id),
+    d AS (SELECT source, doc_id, count(*) AS n, sum(tokens) AS t, count(*) FILTER (has_prev) AS pr, count(*) FILTER (has_next) AS x FROM e GROUP BY source, doc_id)
+    SELECT source, sum(n)::BIGINT AS entries, sum(t)::BIGINT AS tokens, 0 AS merged, sum(pr)::BIGINT AS has_prev, sum(x)::BIGINT AS pairs, count(*) AS docs, count(*) FILTER (n > 1) AS multi_docs,
+      round(avg(n) FILTER (n > 1), 6) AS mean_chunks, round(sum(x) / sum(n), 6) AS next_share FROM d GROUP BY source""",
+)
 def corpus_report(spark, d):
     docs = table(spark, d, "documents").filter(~is_blank(F.col("text")))
     first = dedup.exact_copies(docs, "doc_id", "text").filter("doc_id = first").select("doc_id")
     own = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").join(first, "doc_id")
-    pieces = chunk.chunks(own, ["doc_id", "source"], "text", chunk.CharTokenizer(), 512)
-    entries = pieces.select(
-        (F.col("doc_id") * 100_000 + F.col("split")).alias("idx"), "source", F.col("doc_id").cast("string").alias("id"), "split", "tokens",
-        F.lit(None).cast("array<struct<file_path:string,byte_offset:bigint>>").alias("parts"),
-    )
-    return I.source_stats(I.flagged(entries))
+    return I.source_stats(I.flagged(_chunked(own).drop("text")))

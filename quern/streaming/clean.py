@@ -27,7 +27,14 @@ def windowed_counts(rows: DataFrame, time: str, key: str, value: str, size: str
 
 
 def drain(spark: SparkSession, stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a folder (with its own checkpoint) and reads that."""
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    """Runs a stream over all that is there into a folder (with its own checkpoint) and reads that.
+
+    In the mode ``complete`` every batch replaces the folder, so that the last one's result stays.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "complete":
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")).start()
+    else:
+        q = writer.format("parquet").option("path", f"{path}/rows").start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -49,8 +49,11 @@ def test_components_agree_however_they_are_merged(spark):
             parent[max(a, b)] = min(a, b)
     want = sorted((x, find(x)) for x in parent if find(x) != x)
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
-    for limit in (10_000, 64):
+    for limit in (10_000, 64, 8):
         assert rows(components.components(df, max_task_edges=limit, fan_in=2)) == want
+    # One root of nearly all nodes, reached over another hub.
+    hub = spark.createDataFrame([(5, i) for i in range(10, 200)] + [(3, 5), (3, 300), (300, 301)], "a long, b long").repartition(7)
+    assert rows(components.components(hub, max_task_edges=16, fan_in=2)) == [(i, 3) for i in [5, *range(10, 200), 300, 301]]
     assert rows(components.components(df.limit(0))) == []
 
 
@@ -164,7 +167,7 @@ def entries(spark, data):
 
 
 def test_pairs_cross_spans_gaps_and_repeats(spark):
-    data = [(0, "s", "a", 0, 5), (1, "s", "a", 1, 5), (2, "s", "a", 1, 5), (3, "s", "a", 2, 5), (4, "s", "a", 5, 5), (5, "s", "b", I.SPAN - 1, 5), (6, "s", "b", I.SPAN, 5), (7, "t", "a", 1, 5), (7, "t", "a", 1, 5)]
+    data = [(0, "s", "a", 0, 5), (1, "s", "a", 1, 5), (2, "s", "a", 1, 5), (3, "s", "a", 2, 5), (4, "s", "a", 5, 5), (5, "s", "b", 4095, 5), (6, "s", "b", 4096, 5), (7, "t", "a", 1, 5), (7, "t", "a", 1, 5)]
     own = I.entries_once(entries(spark, data))
     assert rows(I.pairs(own)) == [(0, 1), (2, 3), (5, 6)]
     flags = {r["idx"]: (r["has_prev"], r["has_next"], r["orphan"]) for r in I.flagged(own).collect()}
@@ -172,9 +175,21 @@ def test_pairs_cross_spans_gaps_and_repeats(spark):
     assert sum(r["pairs"] for r in I.source_stats(I.flagged(own)).collect()) == 3
 
 
+def test_neighbours_in_a_hot_split(spark):
+    """A third of the rows in one split of one document: still one order, and ranges that cut it."""
+    data = [(i, "s", "", 0, 1) for i in range(200)] + [(200 + i, "s", "d", i // 2, 1) for i in range(300)] + [(900, "s", "", 1, 1)]
+    own = I.entries_once(entries(spark, data))
+    want, order = [], sorted((d[2], d[3], d[0]) for d in data)
+    for (i, a, x), (j, b, y) in zip(order, order[1:]):
+        want += [(x, y)] if i == j and b == a + 1 else []
+    assert rows(I.pairs(own)) == sorted(want) and (199, 900) in want
+    got = {r["idx"]: r["next_idx"] for r in I.with_next(own).collect()}
+    assert len(got) == 501 and all(got[i] == i + 1 for i in range(199)) and got[900] is None
+
+
 def test_next_fit_by_blocks_is_next_fit(spark):
     random.seed(4)
-    for block, seed in ((2, 1), (3, 2), (256, 3)):
+    for block, fan, seed in ((2, 2, 1), (3, 3, 2), (256, 256, 3)):
         random.seed(seed)
         data = [(i, random.choice("xxxy"), random.choice([0, 1, 3, 20, 40, 60, 100, 130, 900])) for i in random.sample(range(1000), 300)]
         want = {}
@@ -187,7 +202,7 @@ def test_next_fit_by_blocks_is_next_fit(spark):
                 used += s
                 want[i] = first
         df = spark.createDataFrame(data, "o long, g string, s int")
-        got = {r["o"]: r["pack"] for r in I.next_fit(df, "g", "o", "s", 100, width=50, block=block).collect()}
+        got = {r["o"]: r["pack"] for r in I.next_fit(df, "g", "o", "s", 100, width=50, block=block, fan=fan).collect()}
         assert got == want, (block, seed)
     assert I.next_fit(spark.createDataFrame([], "o long, g string, s int"), "g", "o", "s", 100).count() == 0
 
@@ -448,7 +463,8 @@ def test_mixing(spark):
     placed = mix.shards(mix.shuffled(df, F.col("k").cast("string"), ["k"]), "place", 4)
     assert sorted(r["place"] for r in placed.collect()) == list(range(1, 11)) and {r["shard"] for r in placed.collect()} == {0, 1, 2}
     assert {r["turn"] for r in mix.interleaved(df, "f", "k", 2, 3).collect()} == {0, 1, 2}
-    used = mix.budget_sample(df, ["f"], [F.col("k")], F.col("k"), F.lit(6))
+    assert mix.shuffled(df, F.col("k").cast("string"), ["k"]).exceptAll(mix.shuffled(df, F.col("k").cast("string"), ["k"], bits=3)).count() == 0
+    used = mix.budget_sample(df, ["f"], "k", F.col("k"), F.lit(6), width=2)
     assert rows(used.select("k")) == [(0,), (1,), (2,), (3,), (4,)]
 
 
@@ -466,11 +482,11 @@ def test_batches(spark):
 
 
 def test_samples_have_whole_lengths_and_true_predecessors(spark, tmp_path):
-    from quern.plans.sample_queries import training_samples_full
+    from quern.plans.sample_queries import training_samples
 
     data = [(0, "s", "a", 0, 5000), (1, "s", "b", 0, 20), (2, "s", "a", 1, 7000), (3, "s", "b", 1, None), (4, "s", "b", 2, 30), (6, "s", "a", 2, 40)]
     entries(spark, data).write.parquet(str(tmp_path / "index_entries.parquet"))
-    assert rows(training_samples_full(spark, str(tmp_path))) == [
+    assert rows(training_samples(spark, str(tmp_path))) == [
         (0, "reconstruction", None, 4096, 1, 4096, 4096, 50001, 50002),
         (1, "ntp", None, 1, 0, 0, 20, 2, 21),
         (2, "continuation", 0, 4096, 1, 4096, 4096, 3, 4098),
