@@ -32,15 +32,12 @@ from pyspark.sql import functions as F
 from quern.functions.text import narrow, whole_text
 from quern.operators.components import components
 from quern.operators.joins import skew_join
-from quern.operators.tiles import BASE, TILE, band_keys, bitmap, candidates, mixed, prefix_keys
+from quern.operators.tiles import BASE, PARTNERS, TILE, band_keys, bitmap, candidates, decided, mixed, prefix_keys
 from quern.session import cut
 
 GRAM = 8
 THRESHOLD = 0.7
 BANDS, ROWS = 40, 4
-#: Partners that one task compares with the text of one class, and members of a class in one block of pairs.
-PARTNERS = 1000
-
 
 def grams(text: str, k: int = GRAM) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the sequences of k characters."""
@@ -100,48 +97,8 @@ def settled(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled(cut(other.select(sketched.columns), "sketches"))
 
 
-def _exact(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray] | None = None
-        for b in batches:
-            cls, other = b.column("a").to_pylist(), b.column("b").to_pylist()
-            a_out, b_out, s_out = [], [], []
-            for i, t in enumerate(b.column("text")):
-                g = grams(t.as_py())
-                if other[i] is None:
-                    held = cls[i], g
-                    continue
-                both = len(np.intersect1d(held[1], g, assume_unique=True))
-                sim = both / (len(held[1]) + len(g) - both)
-                if sim >= threshold:
-                    a_out.append(cls[i])
-                    b_out.append(other[i])
-                    s_out.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(s_out, pa.float64())], ["a", "b", "sim"])
-
-    return run
-
-
-def decided(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, sim`` of the pairs (a, b) at or above the threshold; ``texts`` (cls, text) has one row a class.
-
-    A pair goes to the class with more pairs, which meets its partners in groups of bounded size.
-    """
-    ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("m"))
-    ends = cut(ends, "degrees")
-    a, b = (ends.select(F.col("cls").alias(c), F.col("m").alias(f"m{c}"), F.col("m").alias("_w")) for c in "ab")
-    known = skew_join(skew_join(pairs, a, "a", "_w"), b, "b", "_w")
-    busy = (F.col("ma") > F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
-    parts = F.ceil(F.greatest("ma", "mb") / PARTNERS)
-    known = known.select(F.when(busy, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(busy, F.col("b")).otherwise(F.col("a")).alias("b"), parts.alias("s"))
-    known = cut(known.withColumn("part", F.pmod(F.xxhash64("b"), F.col("s"))).drop("s"), "grouped")
-    right = known.join(texts.select(F.col("cls").alias("b"), "text"), "b")
-    left = known.select("a", "part").distinct().join(texts.select(F.col("cls").alias("a"), "text"), "a").withColumn("b", F.lit(None).cast("long"))
-    rows = left.select("a", "part", "b", "text").unionByName(right.select("a", "part", "b", "text"))
-    # The text of the group comes first (nulls do), its partners behind it.
-    met = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    out = met.select("a", "b", "text").mapInArrow(_exact(threshold), "a bigint, b bigint, sim double")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+def _grams(v: pa.Scalar) -> np.ndarray:
+    return grams(v.as_py())
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -158,8 +115,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, exa
     ids = cut(once.select("id", "row", "cls", "also").join(wanted, "cls"), "ids")
     ids = ids.select("id", F.col("cls").alias("of"), F.col("also").alias("_a"))
     texts = classed(docs.join(ids.select("id").distinct(), "id", "left_semi")).join(ids, "id").filter("also = _a").select(F.col("of").alias("cls"), "text")
-    texts = cut(texts.dropDuplicates(["cls"]), "texts")
-    return cut(decided(pairs, texts, threshold), "links"), members
+    texts = cut(texts.dropDuplicates(["cls"]).select("cls", F.col("text").alias("v")), "texts")
+    return cut(decided(pairs, texts, threshold, _grams), "links"), members
 
 
 def _blocks(members: DataFrame) -> DataFrame:

@@ -30,11 +30,16 @@ ENTRIES = [
 ]
 
 
-def test_split_groups(spark):
+def test_split_groups(spark, monkeypatch):
     df = spark.createDataFrame(ENTRIES, ENTRY)
     # 0-3 over an id and records; 4 and 5 over a record, as (q, z) and (q, none); 6 and 7 are one pair.
     assert rows(splits.found(df)) == [(0, 1), (0, 2), (0, 3), (4, 5)]
-    assert rows(splits.found(df, max_task_edges=1)) == rows(splits.found(df))
+    assert rows(splits.found(df, max_task_edges=1)) == rows(splits.found(df)) == rows(splits.found(df, hot=1))
+    assert rows(splits.assign(df, hot=1)) == rows(splits.assign(df))
+    # Entities that share a number are told apart.
+    monkeypatch.setattr(splits, "entities", lambda e, f=splits.entities: f(e).withColumn("entity", F.lit(7).cast("long")))
+    assert rows(splits.found(df)) == [(0, 1), (0, 2), (0, 3), (4, 5)]
+    monkeypatch.undo()
     out = {r["idx"]: (r["first_idx"], r["split"]) for r in splits.assign(df).collect()}
     assert len(out) == 12 and len({out[i] for i in range(4)}) == 1 and out[6] == out[7] and out[10][0] != out[11][0]
     assert splits.found(df.limit(0)).count() == 0 and splits.assign(df.limit(0)).count() == 0
@@ -81,6 +86,7 @@ def test_near_duplicates(spark, monkeypatch):
     assert all(groups[i]["class"] is groups[i]["group"] is None and groups[i]["links"] == 0 for i in "nest")
     # Texts that share a class by hash are told apart, and blocks of two members make all pairs.
     monkeypatch.setattr(neardup, "PARTNERS", 2)
+    monkeypatch.setattr("quern.operators.tiles.PARTNERS", 2)
     monkeypatch.setattr(neardup, "classed", lambda d, f=neardup.classed: f(d).withColumn("cls", F.pmod("cls", F.lit(3)).cast("long")))
     assert rows(neardup.found(df)) == want
     assert neardup.found(df.limit(0)).count() == 0
