@@ -32,7 +32,8 @@ class Plan:
 
     def __init__(self, histogram: list[tuple[int, int]], capacity: int) -> None:
         self.capacity = capacity
-        self.left = {s: n for s, n in histogram if n > 0}
+        self.histogram = sorted((s, n) for s, n in histogram if n > 0)
+        self.left = dict(self.histogram)
         self.sizes = sorted(self.left)
         self.seen: dict[int, int] = defaultdict(int)
         #: (size, lo, hi, first container, items of it per container)
@@ -43,6 +44,22 @@ class Plan:
         self.fixed = self.containers
         self._best_fit()
 
+    def least(self) -> int:
+        """A number of containers that no packing of the items can go below (the bound L2 of Martello and Toth).
+
+        For each a up to half the capacity: items above capacity - a are alone, those above half the capacity
+        are apart, and of the others from a on what doesn't fit beside the latter needs containers of its own.
+        """
+        c = self.capacity
+        best = -(-sum(s * n for s, n in self.histogram) // c)
+        for a in [0, *(s for s, _ in self.histogram if 2 * s <= c)]:
+            alone = sum(n for s, n in self.histogram if s > c - a)
+            apart = [(s, n) for s, n in self.histogram if c - a >= s and 2 * s > c]
+            small = sum(s * n for s, n in self.histogram if a <= s and 2 * s <= c)
+            beside = sum(n for _, n in apart) * c - sum(s * n for s, n in apart)
+            best = max(best, alone + sum(n for _, n in apart) + max(0, -(-(small - beside) // c)))
+        return best
+
     def _put(self, size: int, first: int, containers: int, each: int) -> None:
         n, lo = containers * each, self.seen[size]
         self.rows.append((size, lo, lo + n, first, each))
@@ -191,15 +208,21 @@ def pack(sized: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     return out.select(F.col("_key").alias(key), "piece", "begin", "tokens", "container"), plan
 
 
-def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``containers, tokens, unused, fill, least``: least is the number no packing can go below (total over capacity)."""
+def report(packed: DataFrame, plan: Plan, capacity: int = CAPACITY) -> DataFrame:
+    """``containers, tokens, unused, fill, least, fixed``.
+
+    ``least`` is a number no packing can go below; ``fixed`` the share of the containers that are full
+    parts of divided items or were fixed by dominance, so that only the others could be packed better.
+    """
     each = packed.filter("container is not null").groupBy("container").agg(F.sum("tokens").alias("used"))
+    whole = F.col("containers") - plan.containers
     return each.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens")).select(
         "containers",
         "tokens",
         (F.col("containers") * capacity - F.col("tokens")).alias("unused"),
-        (F.col("tokens") / (F.col("containers") * capacity)).alias("fill"),
-        F.ceil(F.col("tokens") / capacity).alias("least"),
+        (F.col("tokens") / F.nullif(F.col("containers") * capacity, F.lit(0))).alias("fill"),
+        F.greatest(whole + plan.least(), F.ceil(F.col("tokens") / capacity)).alias("least"),
+        ((whole + plan.fixed) / F.nullif("containers", F.lit(0))).alias("fixed"),
     )
 
 

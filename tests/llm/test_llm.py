@@ -280,7 +280,8 @@ def test_pack(spark):
     for r in out.collect():
         by.setdefault(r["doc_id"], []).append(r)
     assert all(len(p) == (1 if i == 0 else 0) + max(1, -(-(sizes[i] or 0) // 100)) or i == 0 for i, p in by.items()) and by[400][0]["container"] is None
-    assert packing.report(out, 100).first()["unused"] == 100 * len(held) - total and plan.fixed > 0
+    told = packing.report(out, plan, 100).first()
+    assert told["unused"] == 100 * len(held) - total and plan.fixed > 0 and 0 < told["fixed"] <= 1 and total / 100 <= told["least"] <= told["containers"]
     assert packing.pack(df.limit(0), capacity=100)[0].count() == 0
 
 
@@ -318,6 +319,7 @@ def test_reduction_keeps_the_optimum():
             for _ in range(n):
                 rest.remove(s)
         assert plan.fixed + (least(rest, 20) if rest else 0) == least(items, 20)
+        assert plan.least() <= least(items, 20) <= plan.containers
 
 
 # Problem 8: spam
