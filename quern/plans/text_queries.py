@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fields as X
 from quern.functions.text import is_blank, pages_in_order, whole_text
+from quern.functions.terms import STOP, terms
 from quern.operators import chunk, dedup
 from quern.operators.articles import BLOCKED, is_spam
 from quern.operators.waterfall import first_failing
@@ -189,7 +190,7 @@ def sql_star(docs: str) -> str:
     su AS (SELECT k, unnest(s) AS x, len(s) AS n FROM ss), sb AS (SELECT a.k AS a, b.k AS b, count(*) AS c, min(a.n) AS an, min(b.n) AS bn FROM su a JOIN su b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2),
     s0 AS (SELECT k, {sql_strip("coalesce(t, '')")} AS t FROM {docs} WHERE NOT regexp_matches(coalesce(t, ''), '[\\p{{L}}\\p{{N}}]')),
     se AS (SELECT a, b FROM sb WHERE c / (an + bn - c) >= 0.8 UNION ALL SELECT p.k, q.k FROM s0 p JOIN s0 q ON q.t = p.t AND p.k <> q.k),
-    sn AS (SELECT a AS k, list(b) AS near, row_number() OVER (ORDER BY a) AS r FROM se GROUP BY a),
+    sn AS MATERIALIZED (SELECT a AS k, list(b) AS near, row_number() OVER (ORDER BY a) AS r FROM se GROUP BY a),
     sg AS (SELECT 0::BIGINT AS r, []::STRUCT(k VARCHAR, c VARCHAR)[] AS got, []::VARCHAR[] AS taken
       UNION ALL SELECT sn.r, CASE WHEN list_contains(taken, sn.k::VARCHAR) THEN [] ELSE list_transform(list_filter(list_concat([sn.k], near), lambda x: NOT list_contains(taken, x::VARCHAR)), lambda x: {{'k': x::VARCHAR, 'c': sn.k::VARCHAR}}) END,
         CASE WHEN list_contains(taken, sn.k::VARCHAR) THEN taken ELSE list_concat(taken, list_transform(list_filter(list_concat([sn.k], near), lambda x: NOT list_contains(taken, x::VARCHAR)), lambda x: x::VARCHAR)) END FROM sg JOIN sn ON sn.r = sg.r + 1),
@@ -394,3 +395,23 @@ def chunk_words(spark, d):
 @R.query("chunk_totals", "SELECT doc_id, length(text) AS chars FROM documents WHERE text IS NOT NULL AND text <> ''")
 def chunk_totals(spark, d):
     return chunk_chars(spark, d).groupBy("doc_id").agg(F.sum("tokens").alias("chars"))
+
+
+@R.query(
+    "language_terms",
+    rf"""WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(lower(lang), '^(zh|ja)') THEN regexp_extract_all(coalesce(text, ''), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]|[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\P{{L}}]+|\p{{N}}+')
+      ELSE list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]', '', 'g'), '{SPACE}+'), lambda w: w <> '' AND NOT list_contains(string_split('{STOP}', ' '), w)) END AS l FROM documents)
+    SELECT doc_id, len(l) AS n, md5(array_to_string(l, ' ')) AS h FROM t""",
+)
+def language_terms(spark, d):
+    """Terms by language, before stemming."""
+    docs = table(spark, d, "documents")
+    got = docs.select("doc_id", terms(F.col("text"), F.col("lang"), stemmed=False).alias("l"))
+    return got.select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", " ")).alias("h"))
+
+
+@R.query("stemmed_terms")
+def stemmed_terms(spark, d):
+    """The whole step, stems too."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.array_join(terms(F.col("text"), F.col("lang")), " ").alias("terms"))

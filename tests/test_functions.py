@@ -101,3 +101,30 @@ def test_json_ready(spark):
     assert tuple(X.json_ready(df).first()) == ("2024-01-02", "2024-01-02T03:04:05", 1.5, "é", None, 7)
     lit = F.lit
     assert tuple(df.select(X.repo_meta(lit("r"), lit("p"), lit(3), lit("py")).alias("m")).first()["m"]) == ("r", "p", 3, "py")
+
+
+def test_terms():
+    from quern.functions.terms import porter
+
+    stems = {
+        "caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi",
+        "sky": "sky", "relational": "relat", "rational": "ration", "digitizer": "digit", "vietnamization": "vietnam", "hopefulness": "hope", "sensibiliti": "sensibl", "electrical": "electr",
+        "goodness": "good", "replacement": "replac", "adoption": "adopt", "bowdlerize": "bowdler", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "is": "is", "漢字": "漢字",
+    }
+    assert {w: porter(w) for w in stems} == stems
+
+
+def test_terms_by_language(spark):
+    from quern.functions.terms import terms
+
+    df = spark.createDataFrame([("The cats' toys, running!", "en"), ("漢字とkana 12", "zh-cn"), (None, "ja"), (None, None), ("the", None)], "t string, l string")
+    assert [r[0] for r in df.select(terms(F.col("t"), F.col("l"))).collect()] == [["cat", "toi", "run"], ["漢", "字", "と", "kana", "12"], [], [], []]
+    assert df.select(terms(F.col("t"), F.col("l"), stemmed=False)).first()[0] == ["cats", "toys", "running"]
+
+
+def test_ids_and_times(spark):
+    df = spark.createDataFrame([("a", 3), ("", 4), (None, 5)], "id string, n long")
+    assert [r[0] for r in df.select(X.id_or_line(F.col("id"), F.lit("s"), F.col("n"))).collect()] == ["a", "s_4", "s_5"]
+    assert [r[0] for r in df.select(X.prefixed_id(F.col("id"), F.col("n"))).collect()] == ["a_3", "_4", "_5"]
+    assert one(spark, "2020-01-01T10:00", X.plain_time) == "2020-01-01 10:00"
+    assert tuple(one(spark, "co/x.txt", X.path_fields)) == ("x.txt - x", "co_x_txt_x")
