@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from quern.functions.fields import any_of, json_list, parse_tags, plain_time, ta
 from quern.functions.html import clean_html
 from quern.functions.text import is_blank, strip
 from quern.operators.waterfall import first_failing
+from quern.session import cut, spread
 
 # Categories and words of the subject; words of pages to be dropped.
 CATEGORIES = [
@@ -27,14 +29,30 @@ KEYWORDS = [
 BLOCKED = ["流量卡", "壁纸", "动漫壁纸", "美图"]
 
 
-def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row a key: the greatest in ``order`` (nulls first, then the remaining columns decide); null keys are left out.
+def latest(rows: DataFrame, key: str, order: list[str], in_place: bool = True) -> DataFrame:
+    """One row a key: the greatest in ``order`` (nulls first; a hash of the remaining columns decides ties); null keys are left out.
 
-    A partial aggregate, so repeated keys cost one row a task.
+    Of rows read from files only key, order and a hash are shuffled, to find the rows that lose against
+    another of their key; those, mostly few, are then taken out by file and row, so that long columns
+    never move.  Other rows are compared whole, by a partial aggregate.
     """
     rest = [c for c in rows.columns if c != key and c not in order]
-    best = F.max(F.struct(*order, *rest)).alias("_v")
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"_v.{c}").alias(c) for c in order + rest]).select(rows.columns)
+    own = rows.filter(F.col(key).isNotNull())
+    rank = [*order, F.xxhash64(*rest).alias("_h")] if rest else order
+    placed = None
+    if in_place:
+        try:
+            placed = own.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException:
+            pass
+    if placed is None:
+        best = own.groupBy(key).agg(F.max(F.struct(*rank, F.struct(*rest).alias("_r"))).alias("_v"))
+        return best.select(key, *[F.col(f"_v.{c}").alias(c) for c in order], *[F.col(f"_v._r.{c}").alias(c) for c in rest]).select(rows.columns)
+    slim = placed.select(key, "_file", "_row", F.struct(*rank, "_file", "_row").alias("_v"))
+    best = slim.groupBy(key).agg(F.max("_v").alias("_b"), F.count("*").alias("_n")).filter("_n > 1")
+    losers = slim.join(best.select(F.col(key).alias("_k"), "_b"), F.col(key) == F.col("_k")).filter("_file <> _b._file or _row <> _b._row").select("_file", "_row")
+    # Written, so that Spark knows how short the list is.
+    return spread(placed.join(cut(losers, "losers"), ["_file", "_row"], "left_anti").select(rows.columns), rows)
 
 
 def on_subject(title: Column, tags: Column, category: Column, categories: list[str] = CATEGORIES, keywords: list[str] = KEYWORDS) -> Column:

@@ -61,7 +61,7 @@ def latest_articles(spark, d):
 
 
 def latest_comments(spark, d):
-    return A.latest(table(spark, d, "comments"), "rpid", ["publish_time", "likes"])
+    return A.latest(table(spark, d, "comments"), "rpid", ["publish_time", "likes"], in_place=False)
 
 
 def scores(spark, d):

@@ -63,6 +63,12 @@ def ship(spark: SparkSession) -> None:
     sc._quern_shipped = True
 
 
+def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """``df`` over all cores if ``scan``, the file scan it comes from, is read in less than half as many tasks (few files, large row groups)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there is deleted when the driver's JVM ends."""
     at = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
