@@ -42,9 +42,10 @@ COMMENTS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rpid ORDER
 TAGS = """CASE WHEN tags IS NOT NULL AND starts_with(trim(tags), '[') AND json_valid(tags) THEN
   list_filter(list_transform(json_extract(tags, '$[*]'), lambda e: CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.name') ELSE json_extract_string(e, '$') END), lambda e: e IS NOT NULL)
   ELSE []::VARCHAR[] END"""
-JUDGED = f"""
-  a AS ({LATEST}),
-  c AS (SELECT *, {sql_clean('content')} AS clean FROM a),
+def sql_judged(c: str = "c") -> str:
+    """CTEs ``c`` and ``j``: the table ``a`` of articles with ``clean`` and ``reason``."""
+    return f"""
+  {c} AS (SELECT *, {sql_clean('content')} AS clean FROM a),
   j AS (SELECT *, CASE
     WHEN content IS NULL OR {sql_strip('content')} = '' THEN 'empty'
     WHEN coalesce(words, 0) < 300 THEN 'short'
@@ -53,7 +54,10 @@ JUDGED = f"""
     WHEN {sql_any("lower(coalesce(title, '') || ' ' || left(coalesce(content, ''), 500))", A.BLOCKED)} THEN 'spam'
     WHEN length(clean) < 150 THEN 'short_after_clean'
     WHEN length(clean) - length(replace(clean, chr(10), '')) > 0.5 * length(clean) THEN 'high_newline'
-    ELSE 'passed' END AS reason FROM c)"""
+    ELSE 'passed' END AS reason FROM {c})"""
+
+
+JUDGED = f"a AS ({LATEST}), {sql_judged()}"
 
 
 def latest_articles(spark, d):
@@ -189,13 +193,15 @@ LINE = """CASE WHEN tags IS NULL OR tags = '' THEN NULL WHEN starts_with(trim(ta
   array_to_string(list_transform(json_extract(tags, '$[*]'), lambda e: CASE WHEN json_type(e) = 'OBJECT' THEN CAST(e AS VARCHAR) ELSE json_extract_string(e, '$') END), ',') ELSE tags END"""
 
 
-@R.query(
-    "article_text",
-    f"""WITH {BEST}, h AS (SELECT cvid, content, {sql_strip("coalesce(title, '')")} AS t, concat_ws(' | ', nullif(publish_time, ''), nullif(author_name, ''), {LINE}) AS m FROM a)
-    SELECT h.cvid, length(x) AS chars, md5(x) AS text_md5 FROM (SELECT h.cvid, h.t || chr(10) || chr(10) || CASE WHEN m = '' THEN chr(10) ELSE m || chr(10) || chr(10) END || {sql_strip('h.content')}
+def sql_article(content: str, rows: str) -> str:
+    """Header, content and best comments of each of the rows, as ``cvid, x``."""
+    return f"""SELECT h.cvid, h.t || chr(10) || chr(10) || CASE WHEN m = '' THEN chr(10) ELSE m || chr(10) || chr(10) END || h.body
       || coalesce(chr(10) || chr(10) || '---' || chr(10) || '评论：' || chr(10) || best.comments, '') AS x
-      FROM h LEFT JOIN best ON best.cvid = h.cvid WHERE h.content IS NOT NULL AND {sql_strip('h.content')} <> '') h""",
-)
+      FROM (SELECT cvid, {sql_strip(content)} AS body, {sql_strip("coalesce(title, '')")} AS t, concat_ws(' | ', nullif(publish_time, ''), nullif(author_name, ''), {LINE}) AS m FROM {rows}) h
+      LEFT JOIN best ON best.cvid = h.cvid WHERE h.body IS NOT NULL AND h.body <> ''"""
+
+
+@R.query("article_text", f"WITH {BEST} SELECT cvid, length(x) AS chars, md5(x) AS text_md5 FROM ({sql_article('content', 'a')})")
 def article_text(spark, d):
     out = A.article_texts(latest_articles(spark, d), latest_comments(spark, d))
     return out.select("cvid", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
