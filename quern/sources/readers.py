@@ -178,6 +178,8 @@ def keyset_pages(df: DataFrame, key: str, path: str, after: int, size: int) -> i
     Each page is one folder below ``path`` named by its first bound, so a stopped copy goes on from the last
     key.  Meant for sources that only answer to ranges; a table Spark can read is read whole (``jdbc_table``).
     """
+    # JSON fields are told apart by case, columns aren't.
+    key = next(c for c in df.columns if c.lower() == key.lower())
     while True:
         page = df.filter(F.col(key) > after).orderBy(key).limit(size)
         page.write.mode("overwrite").json(f"{path}/after={after}")

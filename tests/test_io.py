@@ -91,3 +91,39 @@ def test_streams(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "ev"))
     seen = S.drain(spark, S.first_seen(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "ev")), "ts", "k"), str(tmp_path / "seen"))
     assert sorted(r["k"] for r in seen.collect()) == ["a", "b"]
+
+
+def test_jdbc_table_and_keyset_pages(spark, tmp_path):
+    """An embedded database in memory; a copy that goes on where it stopped."""
+    url, own = "jdbc:derby:memory:quern;create=true", spark.range(1, 101).selectExpr("id AS k", "id * 2 AS v")
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    own.write.jdbc(url, "t", mode="overwrite", properties=driver)
+    got = readers.jdbc_table(spark, url, "t", "K", 1, 101, 3, **driver)
+    assert got.rdd.getNumPartitions() == 3 and sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in range(1, 101)]
+    at = str(tmp_path / "pages")
+    assert readers.keyset_pages(got, "K", at, 10, 40) == 100
+    read = lambda: sorted(r[0] for r in spark.read.schema("k long").option("recursiveFileLookup", "true").json(at).collect())
+    assert read() == list(range(11, 101))
+    more = own.unionByName(spark.range(101, 106).selectExpr("id AS k", "id * 2 AS v"))
+    assert readers.keyset_pages(more, "K", at, 100, 40) == 105 and read() == list(range(11, 106))
+
+
+def test_offsets_with_marks_and_carriage_returns(spark, tmp_path):
+    (tmp_path / "b c+1.jsonl").write_bytes("\ufeff{\"a\":1}\r\n\r\n{\"a\":\"漢\"}".encode())
+    (tmp_path / "a.jsonl").write_bytes(b"x\ny\n")
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    (tmp_path / "no.txt").write_bytes(b"z")
+    paths = readers.listing(spark, [str(tmp_path / "none"), str(tmp_path)])
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["a.jsonl", "b c+1.jsonl", "empty.jsonl"]
+    got = sorted((r["file_path"].rsplit("/", 1)[1], r["line_no"], r["byte_offset"], r["line"]) for r in readers.lines_at(spark, paths, number=True).collect())
+    assert got == [("a.jsonl", 0, 0, "x"), ("a.jsonl", 1, 2, "y"), ("b c+1.jsonl", 0, 3, '{"a":1}'), ("b c+1.jsonl", 1, 12, ""), ("b c+1.jsonl", 2, 14, '{"a":"漢"}')]
+    assert readers.lines_at(spark, []).count() == 0
+
+
+def test_neighbour_lists_and_texts(spark, tmp_path):
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.95), ("b", "c", 0.8)], "src string, dst string, sim double")
+    writers.write_neighbours(pairs, str(tmp_path / "near"))
+    lists = {r["key"]: [(x["other"], x["sim"]) for x in r["near"]] for r in spark.read.json(str(tmp_path / "near")).collect()}
+    assert lists == {"a": [("c", 0.95), ("b", 0.9)], "b": [("a", 0.9), ("c", 0.8)], "c": [("a", 0.95), ("b", 0.8)]}
+    writers.write_texts(spark.createDataFrame([("n1", "a\nb"), ("n2", None)], "n string, t string"), str(tmp_path / "texts"), "n", "t")
+    assert sorted((r["path"].rsplit("n=", 1)[1][:2], r["text"]) for r in readers.texts(spark, str(tmp_path / "texts")).collect()) == [("n1", "a\nb\n"), ("n2", "\n")]
