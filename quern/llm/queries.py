@@ -78,7 +78,22 @@ def p3_found(spark, d):
     return boilerplate.found(table(spark, d, "novels"))
 
 
-@R.query("p3_clean")
+P3_CLEAN_SQL = f"""
+    WITH RECURSIVE pairs AS MATERIALIZED ({P2_SQL}), e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs),
+    tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON e.a = tc.b), root AS (SELECT a AS id, least(a, min(b)) AS root FROM tc GROUP BY a),
+    v AS (SELECT DISTINCT coalesce(site, '') AS site, meta.id AS id, meta.title AS title, crawled_at::DATE AS day, x.key AS page, x.value.text AS text FROM (SELECT site, meta, crawled_at, unnest(map_entries(texts)) AS x FROM novels)),
+    p AS (SELECT v.*, coalesce(r.root, v.id) AS cluster FROM v LEFT JOIN root r ON r.id = v.id),
+    l AS (SELECT site, id, title, day, page, cluster, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM p WHERE text IS NOT NULL AND text <> ''),
+    k AS (SELECT *, CASE WHEN title IS NULL OR title = 'Unknown' OR {sql_tidy('title')} = '' THEN {sql_tidy('line')} ELSE replace({sql_tidy('line')}, {sql_tidy('title')}, chr(1)) END AS y FROM l),
+    d AS (SELECT *, regexp_replace(y, '[0-9]+', chr(2), 'g') AS x FROM k),
+    n AS (SELECT site, count(DISTINCT cluster) AS n FROM p WHERE id IS NOT NULL AND text IS NOT NULL AND text <> '' GROUP BY site),
+    f AS (SELECT site, x, cluster, min(day) AS day FROM d WHERE id IS NOT NULL AND x <> '' GROUP BY site, x, cluster),
+    b AS (SELECT f.site, x FROM f JOIN n ON n.site = f.site GROUP BY f.site, x, n HAVING count(*) >= 4 AND count(*) >= 0.2 * n AND count(DISTINCT day) >= 2),
+    c AS (SELECT d.site, d.id, d.page, d.text, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (b.x IS NULL), '') AS clean FROM d LEFT JOIN b ON b.site = d.site AND b.x = d.x GROUP BY d.site, d.id, d.page, d.text)
+    SELECT site, id, page, clean AS text FROM c UNION ALL SELECT DISTINCT site, id, page, text FROM v WHERE text IS NULL OR text = ''"""
+
+
+@R.query("p3_clean", P3_CLEAN_SQL)
 def p3_clean(spark, d):
     return boilerplate.cleaned(table(spark, d, "novels"))
 
