@@ -60,14 +60,25 @@ def jsonl_by_folder(spark: SparkSession, root: str, schema: str, skip: str = "fo
 
 
 def plain_path(c: Column) -> Column:
-    """The path of a file URL as it was given: no scheme in front of a local path, no escapes."""
+    """The path of a file URL: no scheme in front of a local path, no escapes."""
     raw = F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(raw, "^file:/+", "/")
 
 
+def _as_given(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``_path, _given``: the full path of each file and the path it was given by; a row a path of the list the driver holds anyway."""
+    jvm, rows = spark.sparkContext._jvm, []
+    for given in paths:
+        p = jvm.org.apache.hadoop.fs.Path(given)
+        full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        rows.append((re.sub("^file:/+", "/", full), given))
+    return spark.createDataFrame(rows, "_path string, _given string").dropDuplicates(["_path"])
+
+
 def lines_at(spark: SparkSession, paths: str | list[str], number: bool = False) -> DataFrame:
     """``file_path, byte_offset, line`` of text files: the byte at which each line begins; with ``number`` also ``line_no`` from 0.
 
+    ``file_path`` is a file's path as it was given, or its full path where a folder was given.
     Files are read in splits.  A line's offset is the sum of the lengths before it: in its split by a
     window, and over the splits of a file by their totals.  A byte order mark at the beginning of a file
     belongs to no line but counts in the offsets.
@@ -91,6 +102,7 @@ def lines_at(spark: SparkSession, paths: str | list[str], number: bool = False)
     out = out.join(marks, "file_path")
     # A carriage return before the line end is no part of the line.
     line = F.regexp_replace("line", "\\r$", "")
+    out = out.join(F.broadcast(_as_given(spark, paths)), F.col("file_path") == F.col("_path"), "left").withColumn("file_path", F.coalesce("_given", "file_path"))
     return out.select("file_path", (F.col("_end") - F.col("_n") + F.col("_mark")).alias("byte_offset"), line.alias("line"), *(["line_no"] if number else []))
 
 
