@@ -10,7 +10,7 @@ from quern.functions.fields import any_of, json_list, parse_tags, plain_time, ta
 from quern.functions.html import clean_html
 from quern.functions.text import is_blank, strip
 from quern.operators.waterfall import first_failing
-from quern.session import cut, spread
+from quern.session import cut, is_small
 
 # Categories and words of the subject; words of pages to be dropped.
 CATEGORIES = [
@@ -45,14 +45,14 @@ def latest(rows: DataFrame, key: str, order: list[str], in_place: bool = True) -
             placed = own.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         except AnalysisException:
             pass
-    if placed is None:
+    if placed is None or is_small(rows):
         best = own.groupBy(key).agg(F.max(F.struct(*rank, F.struct(*rest).alias("_r"))).alias("_v"))
         return best.select(key, *[F.col(f"_v.{c}").alias(c) for c in order], *[F.col(f"_v._r.{c}").alias(c) for c in rest]).select(rows.columns)
     slim = placed.select(key, "_file", "_row", F.struct(*rank, "_file", "_row").alias("_v"))
     best = slim.groupBy(key).agg(F.max("_v").alias("_b"), F.count("*").alias("_n")).filter("_n > 1")
     losers = slim.join(best.select(F.col(key).alias("_k"), "_b"), F.col(key) == F.col("_k")).filter("_file <> _b._file or _row <> _b._row").select("_file", "_row")
     # Written, so that Spark knows how short the list is.
-    return spread(placed.join(cut(losers, "losers"), ["_file", "_row"], "left_anti").select(rows.columns), rows)
+    return placed.join(cut(losers, "losers"), ["_file", "_row"], "left_anti").select(rows.columns)
 
 
 def on_subject(title: Column, tags: Column, category: Column, categories: list[str] = CATEGORIES, keywords: list[str] = KEYWORDS) -> Column:

@@ -12,12 +12,14 @@ from quern.operators.prefix import bucket_bits, md5_rank, running_sum_by
 from quern.session import cut
 
 def entries_once(entries: DataFrame) -> DataFrame:
-    """One row an idx (repeated rows are identical); null split and tokens are 0, null source and id ''."""
-    return entries.filter("idx is not null").dropDuplicates(["idx"]).select(
+    """One row an idx (repeated rows are identical), written once; null split and tokens are 0, null source and id ''."""
+    own = entries.filter("idx is not null").dropDuplicates(["idx"]).select(
         "idx", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("id", F.lit("")).alias("id"),
         F.coalesce("split", F.lit(0)).alias("split"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         "file_path", "byte_offset", "parts",
     )
+    # Neighbours need it several times: to cut it into ranges, to order those, and for the result.
+    return cut(own, "once")
 
 
 def tidy_source() -> Column:

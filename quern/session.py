@@ -63,10 +63,9 @@ def ship(spark: SparkSession) -> None:
     sc._quern_shipped = True
 
 
-def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """``df`` over all cores if ``scan``, the file scan it comes from, is read in less than half as many tasks (few files, large row groups)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else df
+def is_small(scan: DataFrame) -> bool:
+    """Whether a file scan is read in less than half as many tasks as there are cores, so that shuffling it whole costs less than a job saved."""
+    return 2 * scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
 
 
 def scratch(spark: SparkSession, name: str) -> str:
