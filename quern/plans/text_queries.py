@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import fields as X
-from quern.functions.text import is_blank, pages_in_order, whole_text
 from quern.functions.terms import STOP, terms
+from quern.functions.text import is_blank, pages_in_order, whole_text
 from quern.operators import chunk, dedup
 from quern.operators.articles import BLOCKED, is_spam
 from quern.operators.waterfall import first_failing
@@ -16,7 +16,8 @@ from quern.sources.readers import pages_map
 from quern.tables import table
 
 R = Registry()
-WATERMARKS = ["公众号", "微信", "QQ", "首发于", "Typeset by"]
+#: Words of lines that belong to a site and not to a book.
+WATERMARKS = ["电子书搜索下载", "录入：", "24小时内删除", "公众号", "QQ", "微信", "如果你不知道读什么书", "免费电子书", "多看阅读器", "资源分享", "幻剑书盟", "轻之国度"]
 LEAST = {"novels": 4000, "games": 1000, "general": 100, "math": 50, "code": 50, "moegirl": 50}
 
 
